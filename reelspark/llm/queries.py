@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm import bpe
+from reelspark.llm import bpe, decontaminate, rans, sharding, simhash, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,7 +19,35 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.select("doc_id", *bpe.digests(F.col("ids"), F.col("decoded")))
 
 
+def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.matches(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op3_rans(spark: SparkSession, folder: str) -> DataFrame:
+    return rans.round_trip(_table(spark, folder, "documents"))
+
+
+def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard(_table(spark, folder, "documents"))
+
+
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc.round_trip(_table(spark, folder, "pages"))
+    main = [f"response.{c} AS {name}" for c, name in (("page_id", "page_id"), ("payload_bytes", "payload_bytes"), ("payload_digest", "payload_digest"), ("type", "record_type"), ("refers_to", "refers_to"))]
+    return found.selectExpr(*main, "response.target_uri AS url", "request.record_id IS NOT NULL AND metadata.record_id IS NOT NULL AS complete")
+
+
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.groups(_table(spark, folder, "documents"), shingle=4, words=1, max_distance=4)
+    return found.select("doc_id", simhash.hex_digits("id").alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_rans": op3_rans,
+    "op5_sharding": op5_sharding,
+    "op7_warc": op7_warc,
+    "op8_simhash": op8_simhash,
 }
 SQL: dict[str, str] = {}
