@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm import bpe, decontaminate, rans, sharding, simhash, warc
+from reelspark.llm import bpe, decontaminate, htmltree, langid, quality, rans, sharding, simhash, substring, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,10 +27,19 @@ def op3_rans(spark: SparkSession, folder: str) -> DataFrame:
     return rans.round_trip(_table(spark, folder, "documents"))
 
 
+def op4_html(spark: SparkSession, folder: str) -> DataFrame:
+    return htmltree.main_text(_table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(_table(spark, folder, "documents"))
 
 
+def op6_substring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return substring.dedupe(docs, digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     found = warc.round_trip(_table(spark, folder, "pages"))
     main = [f"response.{c} AS {name}" for c, name in (("page_id", "page_id"), ("payload_bytes", "payload_bytes"), ("payload_digest", "payload_digest"), ("type", "record_type"), ("refers_to", "refers_to"))]
@@ -42,12 +51,24 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits("id").alias("fingerprint"), "component_id")
 
 
+def op9_langid(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.predict(_table(spark, folder, "documents"))
+
+
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_decontaminate": op2_decontaminate,
     "op3_rans": op3_rans,
+    "op4_html": op4_html,
     "op5_sharding": op5_sharding,
+    "op6_substring": op6_substring,
     "op7_warc": op7_warc,
     "op8_simhash": op8_simhash,
+    "op9_langid": op9_langid,
+    "op10_quality": op10_quality,
 }
 SQL: dict[str, str] = {}

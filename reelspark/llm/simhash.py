@@ -261,3 +261,15 @@ def groups(docs: DataFrame, shingle: int = 5, words: int = 8, max_distance: int
 def hex_digits(number):
     """Column of a long's 16 hexadecimal digits, as an unsigned number."""
     return F.lower(F.lpad(F.hex(number), 16, "0"))
+
+
+def clean(docs: DataFrame, **how) -> DataFrame:
+    """docs with one row of each group: that of the smallest doc_id.
+
+    Of rows with equal doc_id one stays; rows without a doc_id cannot stand for
+    a group and all stay.
+    """
+    found = groups(docs.select("doc_id", "text"), **how)
+    winners = found.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.where("doc_id IS NOT NULL").join(winners, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id IS NULL"))
