@@ -1,4 +1,6 @@
-"""Name -> (query builder, SQL) of the engine's own operators."""
+"""Name -> query builder, and name -> SQL, of the engine's own operators."""
 
-QUERIES = {}
-SQL = {}
+from reelspark.plans import aggregates, blocks, filters, joined, nested, ordered, scalars, texts  # noqa: F401  they register their queries
+from reelspark.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
