@@ -75,18 +75,20 @@ class Automaton:
         for b, letter in byte_letters().items():
             if letter not in vocab:
                 raise ValueError(f"the vocabulary lacks byte {b}")
-        made = [vocab[c] for c in byte_letters().values()]
+        made = {vocab[c]: None for c in byte_letters().values()}
         for k, (a, b) in enumerate(merges):
-            made.append(self._gadget(k, vocab[a], vocab[b], vocab[a + b]))
-        self._suffixes(made)
+            left, right, out = vocab[a], vocab[b], vocab[a + b]
+            if out in made or (left << 32 | right) in self.cut:
+                raise ValueError(f"merge {k} makes a token or takes a pair that an earlier merge has")
+            if left in made and right in made and self._replay(left, right):  # else no path has the pair, and the token never comes up
+                self._gadget(k, left, right, out)
+                made[out] = None
+        self._suffixes(list(made))
         self.steps = dict(self.go)
 
-    def _gadget(self, k: int, a: int, b: int, c: int) -> int:
-        if self.number[c] >= 0 or (a << 32 | b) in self.cut:
-            raise ValueError(f"merge {k} makes a token or takes a pair that an earlier merge has")
+    def _gadget(self, k: int, a: int, b: int, c: int) -> None:
         self.cut[a << 32 | b] = k
         self.first[c], self.second[c], self.number[c] = a, b, k
-        return c
 
     def _suffixes(self, made: list[int]) -> None:
         """The table that reads bytes: its states are prefixes of labels, and each knows the longest label that ends there."""
