@@ -59,7 +59,8 @@ def ceil_frames(num, den) -> Column:
 
 
 def clamp(x, low, high) -> Column:
-    return F.least(F.greatest(_c(x), _c(low)), _c(high))
+    """Null stays null, which least and greatest would pass over."""
+    return F.when(_c(x).isNotNull(), F.least(F.greatest(_c(x), _c(low)), _c(high)))
 
 
 def gain(sample, master, channel, limiter) -> Column:

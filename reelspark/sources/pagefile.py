@@ -11,9 +11,10 @@ many tasks. As a stream, the folder's files are taken in order of name, each onc
 from __future__ import annotations
 
 import os
+import struct
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from reelspark.sources.container import MAX_FIRST, MAX_PACKETS, MAX_PAYLOAD, PACKETS, PAGE, PAGE_FORMAT, PAGE_MAGIC, _packet_rows, arrow_schema, first_page, packets_of
 
@@ -33,8 +34,6 @@ class Run(InputPartition):
 
 def cuts(file: str, split: int) -> Iterator[Run]:
     """Runs of about split bytes; where pages end is told by their headers."""
-    import struct
-
     size = os.path.getsize(file)
     with open(file, "rb") as f:
         start = at = first_page(f.read(MAX_FIRST))
@@ -74,7 +73,7 @@ class PageFileReader(DataSourceReader):
         yield from _read(partition, self.options)
 
 
-class PageFileStream(SimpleDataSourceStreamReader):
+class PageFileStream(DataSourceStreamReader):
     """The offset is the number of files taken; a folder's files must be complete when they appear and keep their names' order."""
 
     def __init__(self, options):
@@ -83,20 +82,15 @@ class PageFileStream(SimpleDataSourceStreamReader):
     def initialOffset(self) -> dict:  # noqa: N802
         return {"files": 0}
 
-    def _rows(self, files: list[str]) -> Iterator[tuple]:
-        for file in files:
-            for run in cuts(file, 1 << 62):
-                for batch in _read(run, self.options):
-                    yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {"files": len(_files(self.options))}
 
-    def read(self, start: dict):
-        files = _files(self.options)
-        most = int(self.options.get("maxfilespertrigger", 16))
-        stop = min(len(files), start["files"] + most)
-        return self._rows(files[start["files"] : stop]), {"files": stop}
+    def partitions(self, start: dict, end: dict):
+        split = int(self.options.get("splitbytes", self.options.get("splitBytes", 64 << 20)))
+        return [run for file in _files(self.options)[start["files"] : end["files"]] for run in cuts(file, split)]
 
-    def readBetweenOffsets(self, start: dict, end: dict):  # noqa: N802
-        return self._rows(_files(self.options)[start["files"] : end["files"]])
+    def read(self, partition: Run):
+        yield from _read(partition, self.options)
 
     def commit(self, end: dict) -> None:
         pass
@@ -113,5 +107,5 @@ class PageFileSource(DataSource):
     def reader(self, schema):
         return PageFileReader(self.options)
 
-    def simpleStreamReader(self, schema):  # noqa: N802
+    def streamReader(self, schema):  # noqa: N802
         return PageFileStream(self.options)

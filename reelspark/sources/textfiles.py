@@ -49,5 +49,6 @@ def settings(rows: DataFrame, limits: dict[str, tuple[int, int, int]]) -> DataFr
     found = manifest(rows).groupBy("file", "key").agg(F.max_by("value", "n").alias("text"))
     files = rows.select("file").distinct()
     all_ = files.crossJoin(F.broadcast(known))  # known keys: a fixed list
-    value = F.coalesce(F.least(F.greatest(F.col("text").try_cast("long"), F.col("low")), F.col("high")), F.col("fallback"))
+    number = F.col("text").try_cast("long")  # least and greatest would pass over a null
+    value = F.when(number.isNull(), F.col("fallback")).otherwise(F.least(F.greatest(number, F.col("low")), F.col("high")))
     return all_.join(found, ["file", "key"], "left").select("file", "key", value.alias("value"))
