@@ -231,3 +231,105 @@ def seek_points(packets: DataFrame, sync, most: int = MAX_SEEK_POINTS) -> DataFr
     first = packets.where(sync).groupBy("file", "page_offset").agg(F.min_by("frame", "ordinal").alias("frame"))
     w = Window.partitionBy("file").orderBy("page_offset")
     return first.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("file", "frame", "page_offset")
+
+
+#: Fixed values of the seek index: its magic and version, and those of the footer that stands behind an embedded one.
+INDEX_MAGIC, INDEX_VERSION, INDEX_FOOTER_MAGIC, INDEX_FOOTER_VERSION, INDEX_FOOTER = 0x314A4458, 2, 0x5844494D, 1, 32
+
+
+def index_payload(size: int, first: int, points: list[tuple[int, int]], frames: int | None = None) -> bytes:
+    """A seek index. A sidecar's header has no number of frames, an embedded one's has."""
+    head = struct.pack("<IIQI", INDEX_MAGIC, INDEX_VERSION, size, first) + (b"" if frames is None else struct.pack("<I", frames))
+    return head + struct.pack("<I", len(points)) + b"".join(struct.pack("<IIQ", frame, 0, at) for frame, at in points)
+
+
+def parse_index(data: bytes, embedded: bool) -> tuple[int, int, list[tuple[int, int]], int]:
+    """(file size, first page, points, frames); ValueError where magic, version or length do not fit."""
+    magic, version, size, first = struct.unpack_from("<IIQI", data)
+    head = 28 if embedded else 24
+    (count,) = struct.unpack_from("<I", data, head - 4)
+    if (magic, version) != (INDEX_MAGIC, INDEX_VERSION) or count > MAX_SEEK_POINTS or len(data) < head + 16 * count:
+        raise ValueError("no seek index of this version")
+    points = [(f, at) for f, _, at in struct.iter_unpack("<IIQ", data[head : head + 16 * count])]
+    frames = struct.unpack_from("<I", data, 20)[0] if embedded else max((f for f, _ in points), default=-1) + 1
+    return size, first, points, frames
+
+
+def with_index(data: bytes, points: list[tuple[int, int]], frames: int) -> bytes:
+    """The container with its seek index and a footer behind it; unchanged where there are no points."""
+    if not points:
+        return data
+    first = first_page(data)
+    size = len(data) + len(index_payload(0, first, points, frames)) + INDEX_FOOTER
+    payload = index_payload(size, first, points, frames)
+    return data + payload + struct.pack("<IIQIIII", INDEX_FOOTER_MAGIC, INDEX_FOOTER_VERSION, len(data), len(payload), INDEX_MAGIC, INDEX_VERSION, 0)
+
+
+def _pages(data: bytes) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+    """(flags, seq, pts, packets, reserved, payload) of each page; ValueError at anything else."""
+    at = first_page(data)
+    while at < len(data):
+        if len(data) < at + PAGE or data[at : at + 2] != PAGE_MAGIC:
+            raise ValueError(f"no page at byte {at}")
+        _, _, flags, seq, pts, length, count, reserved, _, _ = struct.unpack_from(PAGE_FORMAT, data, at)
+        payload = data[at + PAGE : at + PAGE + length]
+        if len(payload) != length:
+            raise ValueError(f"the page at byte {at} is cut short")
+        yield flags, seq, pts, count, reserved, payload
+        at += PAGE + length
+
+
+def _page(flags: int, seq: int, pts: int, count: int, reserved: int, payload: bytes) -> bytes:
+    return struct.pack(PAGE_FORMAT, PAGE_MAGIC, PAGE, flags, seq, pts, len(payload), count, reserved, zlib.crc32(payload), 0) + payload
+
+
+def merge(segments: list[bytes], warm: list[int] | None = None) -> bytes:
+    """One container of video segments in order. warm pages of a segment are dropped; descriptors must be equal and pages go up by one."""
+    first = first_page(segments[0])
+    head, out, expected = segments[0][HEADER:first], [], 0
+    for data, skip in zip(segments, warm or [0] * len(segments), strict=True):
+        if data[HEADER : first_page(data)] != head or len(streams_of(data)) != 1:
+            raise ValueError("segments do not have the same single video stream")
+        for k, page in enumerate(_pages(data)):
+            if k < skip:
+                continue
+            if page[1] != expected:
+                raise ValueError(f"expected page {expected}, got {page[1]}")
+            out.append(_page(*page))
+            expected += 1
+    video = streams_of(segments[0])[0]
+    header = bytearray(segments[0][:HEADER])
+    struct.pack_into("<Q", header, 20, expected * TICKS * video.fps_den // video.fps_num)
+    return bytes(header) + head + b"".join(out)
+
+
+def mux(video: bytes, audio: list[bytes], silence: bytes, codec: str = "PC16", rate: int = 48000, channels: int = 2) -> bytes:
+    """video with an audio packet behind each page's packets, by position: missing audio is silence, audio beyond the video is cut."""
+    first = first_page(video)
+    descriptor = struct.pack(DESCRIPTOR_FORMAT, 1, AUDIO, DESCRIPTOR, codec.encode(), 1, rate, 0, channels, 0, 0, 0, 0, 0, 0)
+    header = bytearray(video[:HEADER])
+    for at, kind, value in ((12, "<I", 2), (28, "<I", 2), (36, "<Q", first + DESCRIPTOR)):
+        struct.pack_into(kind, header, at, value)
+    out = [bytes(header), video[HEADER:first], descriptor]
+    for k, (flags, seq, pts, count, reserved, payload) in enumerate(_pages(video)):
+        body = audio[k] if k < len(audio) else silence
+        packet = struct.pack(PACKET_FORMAT, 1, 0, PACKET, 0, len(body), k) + body
+        out.append(_page(flags, seq, pts, count + 1, reserved, payload + packet))
+    return b"".join(out)
+
+
+def retime(data: bytes, num: int, den: int) -> bytes:
+    """The same pages at another frame rate: descriptors, page times and duration."""
+    first = first_page(data)
+    head, n = bytearray(data[:first]), 0
+    at = HEADER
+    while at + DESCRIPTOR <= first:
+        if head[at + 1] == VIDEO:
+            struct.pack_into("<HH", head, at + 20, num, den)
+        at += struct.unpack_from("<H", head, at + 2)[0]
+    out = []
+    for flags, seq, _, count, reserved, payload in _pages(data):
+        out.append(_page(flags, seq, seq * TICKS * den // num, count, reserved, payload))
+        n += 1
+    struct.pack_into("<Q", head, 20, n * TICKS * den // num)
+    return bytes(head) + b"".join(out)
