@@ -3,8 +3,10 @@
 An item with an error budget of k edits is cut into k + 1 pieces. Wherever a text
 holds the item with at most k edits, one piece at least is there unchanged. An
 Aho-Corasick automaton over the pieces of all items finds those places in one
-pass over a text; around each, Myers' bit-parallel algorithm gives the smallest
-edit distance of the item to any passage there.
+pass over a text. Where more than k of an item's shreds (disjoint pieces of SHRED
+characters) are missing around such a place, k edits cannot be enough; elsewhere
+Myers' bit-parallel algorithm gives the smallest edit distance of the item to any
+passage there.
 
 Texts and items are compared in lower case with white space runs as one space.
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from reelspark.llm.textcore import slices
 
-ERROR_RATE, MIN_PIECE = 0.1, 9
+ERROR_RATE, MIN_PIECE, SHRED = 0.1, 9, 5
 ITEM_BLOCK_CHARS = 4_000_000
 MATCHES = "doc_id long, item_id long, distance int, begin long, end long"
 
@@ -73,6 +75,16 @@ class Pattern:
             yield score
 
 
+def _may_hold(passage: str, shreds: list[str], k: int) -> bool:
+    """False if more than k of the item's short pieces are missing: each takes an edit of its own."""
+    for shred in shreds:
+        if shred not in passage:
+            if not k:
+                return False
+            k -= 1
+    return True
+
+
 class Matcher:
     """All items of a block, compiled."""
 
@@ -86,7 +98,8 @@ class Matcher:
             k = budget(len(text), rate, piece)
             for a, b in pieces(len(text), k):
                 places.setdefault(text[a:b], []).append((len(self.items), b))
-            self.items.append((item_id, text, k, Pattern(text), Pattern(text[::-1])))
+            shreds = [text[a : a + SHRED] for a in range(0, len(text) - SHRED + 1, SHRED)]
+            self.items.append((item_id, text, k, Pattern(text), Pattern(text[::-1]), shreds))
         for key, value in places.items():
             self.automaton.add_word(key, value)
         if places:
@@ -99,9 +112,11 @@ class Matcher:
         spans: dict[int, list[list[int]]] = {}
         for last, places in self.automaton.iter(text):
             for item, b in places:
-                _, own, k, *_ = self.items[item]
+                _, own, k, _, _, shreds = self.items[item]
                 begin = last + 1 - b
                 low, high = max(0, begin - k), min(len(text), begin + len(own) + k)
+                if not _may_hold(text[low:high], shreds, k):
+                    continue
                 runs = spans.setdefault(item, [])
                 if runs and low <= runs[-1][1] and low >= runs[-1][0]:
                     runs[-1][1] = max(runs[-1][1], high)
@@ -109,7 +124,7 @@ class Matcher:
                     runs.append([low, high])
         out = []
         for item, runs in sorted(spans.items()):
-            item_id, own, k, pattern, backwards = self.items[item]
+            item_id, own, k, pattern, backwards, _ = self.items[item]
             best = None
             for low, high in runs:
                 for j, score in enumerate(pattern.distances(text[low:high])):
