@@ -137,3 +137,17 @@ def fnv1a(text: Column) -> Column:
     byte = lambda k: F.conv(F.substring(digits, 2 * k - 1, F.lit(2)), 16, 10).cast("long")
     places = F.filter(F.sequence(F.lit(0), F.octet_length(text)), lambda k: k > 0)
     return F.aggregate(places, F.lit(2166136261).cast("long"), lambda h, k: (h.bitwiseXOR(byte(k)) * 16777619).bitwiseAND(F.lit(4294967295)))
+
+
+def round_div(a, b) -> Column:
+    """Integer division to the nearest, halves away from zero; 0 where b is not positive."""
+    a, b = _c(a).cast("long"), _c(b).cast("long")
+    size = div(F.abs(a) + div(b, 2), b)
+    return F.when(b > 0, F.when(a >= 0, size).otherwise(-size)).otherwise(0)
+
+
+def yuv565(y, u, v) -> Column:
+    """A video-range YUV sample as a packed 16-bit colour, by the usual integer weights."""
+    base, u, v = (_c(y).cast("int") - 16) * 298 + 128, _c(u).cast("int") - 128, _c(v).cast("int") - 128
+    parts = (base + v * 409, base - u * 100 - v * 208, base + u * 516)
+    return rgb565(*(clamp(F.shiftright(p, 8), 0, 255) for p in parts))
