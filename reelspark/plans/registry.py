@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reelspark.session import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -14,6 +16,7 @@ class Tables:
     """Tables of a folder by attribute."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        ship(spark)
         self._spark, self._folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
