@@ -22,21 +22,27 @@ from __future__ import annotations
 
 import bisect
 import itertools
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelspark.llm.bpe import BEFORE_SPACE, TOKENIZER, _Kept
-from reelspark.llm.textcore import slices
+from reelspark.llm.bpe import SPACE, TOKENIZER, _Kept, byte_letters
+from reelspark.llm.textcore import slices, text_buffer
 from reelspark.session import shared_path
 
+#: White space beyond ASCII before a space.
+OTHER_RUNS = [c + " " for c in SPACE if not c.isascii()]
+#: A word, marks behind it, and perhaps a line end, a word and marks again.
+WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)(?:\n([^\W\d_]+)([!-/:-@\[-`{-~]*))?")
 END_ID = 2
-BLOCK, LANES, SEGMENT = 1 << 18, 2048, 1 << 21
+BLOCK, LANES, SEGMENT = 1 << 19, 4096, 1 << 21
 LOW = np.uint64(1 << 31)
 ROWS_PER_BUCKET, LEAST_BUCKETS = 4096, 64
 
@@ -51,31 +57,67 @@ class Tokenizer:
 
     A split at a space behind a character that is no white space never cuts a
     match of the byte-level pattern, so the pieces' ids in a row are the text's.
+    A piece of letters is one word for the library's model, and marks behind it
+    are words of their own; other pieces go through the whole library.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        plain = (self.library.normalizer, str(self.library.pre_tokenizer)[:10]) == (None, "ByteLevel(")
-        self.special = regex.compile("|".join(regex.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or r"(?!)")
-        self.pieces = plain and "add_prefix_space=False" in str(self.library.pre_tokenizer)
+        self.tokenize, self.letters = self.library.model.tokenize, {b: c for b, c in byte_letters().items() if chr(b) != c}
+        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
+        split = str(self.library.pre_tokenizer)
+        self.pieces = self.library.normalizer is None and split.startswith("ByteLevel(") and "add_prefix_space=False" in split
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.kept = _Kept(lambda piece: self.raw([" " + piece])[0], most)
-
-    def raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def text(self, text: str) -> bytes:
-        if not self.pieces or BEFORE_SPACE.search(text) or self.special.search(text):
-            return self.raw([text])[0]
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.space = byte_letters()[32]
+        self.kept, self.words, self.heads = _Kept(self.piece, most), _Kept(self.word, most // 8), _Kept(self.head, most // 8)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def word(self, word: str) -> bytes:
+        """One word that the split gives."""
+        seen = word.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.tokenize(seen)]).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        """The ids of a piece with the space before it."""
+        if piece.isalpha():
+            if piece.isascii():
+                return array(self.code, [t.id for t in self.tokenize(self.space + piece)]).tobytes()
+            return self.word(" " + piece)
+        if m := WORD_AND_MARKS.fullmatch(piece):
+            word, marks, after, more = m.groups()
+            if word.isalpha() and after is None:
+                return self.kept[word] + self.words[marks]
+            if word.isalpha() and after.isalpha():
+                return self.kept[word] + self.words[marks] + self.words["\n"] + self.words[after] + (self.words[more] if more else b"")
+        return self.whole(" " + piece)
+
+    def head(self, piece: str) -> bytes:
+        """The ids of a piece at the beginning of a text."""
+        return self.word(piece) if piece.isalpha() else self.whole(piece)
+
+    def text(self, text: str, runs: bool) -> bytes:
+        """Ids of a text; runs: whether ASCII white space stands before a space in it."""
+        if runs or not self.pieces or not text.isascii() and any(r in text for r in OTHER_RUNS) or self.special.search(text):
+            return self.whole(text)
         head, *tails = text.split(" ")
-        new = [t for t in dict.fromkeys(tails) if t not in self.kept]
-        if len(new) > 1 and len(self.kept) + len(new) < self.kept.most:
-            self.kept.update(zip(new, self.raw([" " + t for t in new]), strict=True))
-        return (self.raw([head])[0] if head else b"") + b"".join(map(self.kept.__getitem__, tails))
+        return (self.heads[head] if head else b"") + b"".join(map(self.kept.__getitem__, tails))
+
+    def texts(self, column: pa.Array) -> list[bytes]:
+        """Ids of each text of a column."""
+        data, offsets = text_buffer(column)
+        white = (data == 32) | (data >= 9) & (data <= 13)
+        hit = np.flatnonzero(white[:-1] & (data[1:] == 32)) + 1  # one across two texts counts for the second, which only costs time
+        runs = np.diff(np.searchsorted(hit, offsets)) > 0
+        return [self.text(t or "", r) for t, r in zip(column.to_pylist(), runs.tolist(), strict=True)]
 
 
 _tokenizers: dict[str, Tokenizer] = {}
@@ -208,7 +250,7 @@ def tokenize(docs: DataFrame, path: str = TOKENIZER, end_id: int | None = END_ID
         end = b"" if end_id is None else np.array([end_id], tok.dtype).tobytes()
         for whole in batches:
             for batch in slices(whole):
-                ids = [tok.text(t or "") + end for t in batch.column(1).to_pylist()]
+                ids = [x + end for x in tok.texts(batch.column(1))]
                 place = [0 if d is None else bisect.bisect_right(cuts, d) for d in batch.column(0).to_pylist()]
                 cols = [pa.array(ids, pa.binary()), pa.array([tok.dtype.itemsize == 4] * len(ids)), pa.array(place, pa.int32())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=names)
