@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof(probes: DataFrame, points: DataFrame, by: list[str], order: str, carry: list[str], tie: str) -> DataFrame:
+def asof(probes: DataFrame, points: DataFrame, by: list[str], order: str, carry: list[str], tie: str, cell: int | None = None) -> DataFrame:
     """Each probe with carry's values of the last point at or before it (of the same by).
 
     Both sides become one sorted stream for each key: one exchange, no pairs. Of
-    points at the same place the largest tie counts.
+    points at the same place the largest tie counts. With a cell, a key's stream
+    is cut into cells of that width, which different tasks sort; what comes from
+    before a cell is the last point of the cells before, of which a key has one
+    row each.
     """
     columns = probes.columns
     left = probes.select(*columns, F.lit(1).alias("_side"), F.lit(None).alias("_tie"), *(F.lit(None).cast(points.schema[c].dataType).alias(f"_{c}") for c in carry), F.lit(None).cast("boolean").alias("_is"))
@@ -18,10 +21,26 @@ def asof(probes: DataFrame, points: DataFrame, by: list[str], order: str, carry:
         *(F.col(c) if c in by or c == order else F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in columns),
         F.lit(0).alias("_side"), F.col(tie).alias("_tie"), *(F.col(c).alias(f"_{c}") for c in carry), F.lit(True).alias("_is"),
     )
-    w = Window.partitionBy(*by).orderBy(order, "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     packed = F.when(F.col("_is"), F.struct(*(F.col(f"_{c}").alias(c) for c in carry)))
-    found = left.unionByName(right).withColumn("_found", F.last(packed, ignorenulls=True).over(w))
-    return found.where("_side = 1").select(*columns, *(F.col("_found")[c].alias(f"point_{c}") for c in carry))
+    both = left.unionByName(right)
+    if cell is None:
+        keys, found = list(by), F.col("_found")
+    else:
+        both = both.withColumn("_cell", F.floor(F.col(order) / cell).cast("long"))
+        keys = [*by, "_cell"]
+        latest = both.groupBy(*keys).agg(F.max(F.when(F.col("_is"), F.struct(order, "_tie", *(f"_{c}" for c in carry)))).alias("_last"))
+        before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+        earlier = latest.select(*keys, F.last("_last", ignorenulls=True).over(before).alias("_before"))
+        renamed = earlier.select(*(F.col(c).alias(f"_k{k}") for k, c in enumerate(keys)), "_before")
+        same = F.lit(True)
+        for k, c in enumerate(keys):
+            same = same & F.col(c).eqNullSafe(F.col(f"_k{k}"))
+        found = F.coalesce("_found", F.when(F.col("_before").isNotNull(), F.struct(*(F.col("_before")[f"_{c}"].alias(c) for c in carry))))
+    w = Window.partitionBy(*keys).orderBy(order, "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_found", F.last(packed, ignorenulls=True).over(w)).where("_side = 1")
+    if cell is not None:
+        seen = seen.join(renamed, same, "left")
+    return seen.withColumn("_found", found).select(*columns, *(F.col("_found")[c].alias(f"point_{c}") for c in carry))
 
 
 def interval(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: str, end: str, pick: list[str], cell: int) -> DataFrame:

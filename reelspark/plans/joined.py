@@ -69,7 +69,7 @@ def asof_join(t):
     e = _at(t)
     points = e.where("event_type = 'purchase'").withColumn("point", F.col("event_id")).withColumn("when", F.col("at"))
     probes = e.where("event_type = 'view'").select("event_id", "user_id", "at")
-    found = joins.asof(probes, points.select("user_id", "at", "point", "when", "event_id"), ["user_id"], "at", ["point", "when"], "event_id")
+    found = joins.asof(probes, points.select("user_id", "at", "point", "when", "event_id"), ["user_id"], "at", ["point", "when"], "event_id", cell=86_400_000_000)
     return found.select("event_id", F.col("point_point").alias("point"), (F.col("at") - F.col("point_when")).alias("behind"))
 
 

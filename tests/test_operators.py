@@ -39,10 +39,11 @@ def test_largest_first_keeps_the_first_of_equals(spark):
     assert rows(packets.largest_first(df, "size", "k", ["s"], "c")) == [("a", 1, 9, "y")]
 
 
-def test_asof_takes_equal_places_and_the_larger_tie(spark):
+@pytest.mark.parametrize("cell", [None, 1, 7, 100])
+def test_asof_takes_equal_places_and_the_larger_tie(spark, cell):
     points = spark.createDataFrame([("a", 10, 1), ("a", 10, 2), ("a", 20, 3), ("b", 5, 4)], "k string, at long, id long")
     probes = spark.createDataFrame([("a", 9), ("a", 10), ("a", 25), ("c", 1), ("b", 5), ("b", 5)], "k string, at long")
-    got = joins.asof(probes, points, ["k"], "at", ["id"], "id")
+    got = joins.asof(probes, points, ["k"], "at", ["id"], "id", cell)
     assert rows(got) == [("a", 10, 2), ("a", 25, 3), ("a", 9, None), ("b", 5, 4), ("b", 5, 4), ("c", 1, None)]
 
 
