@@ -15,8 +15,9 @@ markup declares one, is what is kept, less such branches inside it.
 
 Merging ships hashes and counts, not texts: counts are added up in each batch,
 again before the exchange, and once more behind it, so a host with a third of
-all pages is spread by its nodes and texts. Pages meet their host's list of
-unimportant nodes in a join that adaptive execution may split.
+all pages is spread by its nodes and texts. The hosts' lists of unimportant nodes
+are checkpointed and measured: up to BROADCAST_BYTES they go to every task and no
+page moves; beyond that pages meet them in a join that adaptive execution splits.
 
 Defined cases: null html is an empty page; a page without text gives the empty
 string; unclosed elements end with their parents and a page cut off in a tag ends
@@ -37,9 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm.textcore import slices
+from reelspark.session import cut
 
 #: A node on fewer pages than MIN_PAGES is not judged; PRESENTATION is that entropy's weight beside content's.
 MIN_PAGES, THRESHOLD, PRESENTATION = 8, 0.35, 0.1
+BROADCAST_BYTES = 16 << 20
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -241,8 +244,10 @@ def main_text(pages: DataFrame, threshold: float = THRESHOLD, min_pages: int = M
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host.alias("host"))
     tree = style_tree(rows.select("host", "html"))
     low = tree.where((F.col("pages") >= min_pages) & F.col("has_text") & (F.col("importance") <= threshold))
-    low = low.groupBy("host").agg(F.collect_set("node").alias("low")).withColumnRenamed("host", "low_host")
-    joined = rows.join(low.repartition("low"), rows.host == F.col("low_host"), "left")
+    low = cut(low.groupBy("host").agg(F.collect_set("node").alias("low")).withColumnRenamed("host", "low_host"))
+    size = low.agg(F.sum(F.size("low") * 8 + F.octet_length("low_host") + 64)).first()[0] or 0
+    # within the bound every task gets the lists, and pages stay where they are; beyond it hosts meet in a join that can be split
+    joined = rows.join(F.broadcast(low) if size <= BROADCAST_BYTES else low, rows.host == F.col("low_host"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -34,13 +34,15 @@ def test_extraction(html, text):
     assert htmltree.extract(htmltree.Page(html)) == text
 
 
-def test_style_tree_drops_what_pages_share(spark):
+def test_style_tree_drops_what_pages_share(spark, monkeypatch):
     pages = [(k, f"http://Site.example/{k}", f"<body><div class=x1>Read our other pages today</div><div class=x2><p>Unique text number {k} of this page.</p><p>More {k * 7}</p></div><div class=x3>All rights {k % 2}</div>") for k in range(30)]
     pages += [(100, "http://other.example/", "<body><div class=x1>Read our other pages today</div><p>z</p>"), (101, None, None), (102, "nonsense", ""), (0, *pages[0][1:])]
     df = spark.createDataFrame([(*p, "t") for p in pages], "page_id long, url string, html string, text string").selectExpr("*", "1 AS host", "2 AS low")
     got = {r.page_id: r.text for r in htmltree.main_text(df).collect()}
     assert got[3] == "Unique text number 3 of this page.\nMore 21"
     assert got[100] == "Read our other pages today\nz" and got[101] == got[102] == ""
+    monkeypatch.setattr(htmltree, "BROADCAST_BYTES", 0)
+    assert {r.page_id: r.text for r in htmltree.main_text(df).collect()} == got
     assert htmltree.main_text(df).count() == len(pages) and htmltree.main_text(df.limit(0)).count() == 0
     tree = {r.importance for r in htmltree.style_tree(df.selectExpr("'h' AS host", "html")).collect()}
     assert all(0 <= x <= 1 for x in tree)
