@@ -253,7 +253,8 @@ def groups(docs: DataFrame, shingle: int = 5, words: int = 8, max_distance: int
     star = stars(edges(distinct, plan, words, max_distance))
     member = star.select(F.col("a").alias("id"), F.col("b").alias("root")).union(star.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
     known = distinct.select("id", "least").join(member, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = known.groupBy("root").agg(F.min("least").alias("component_id")).repartition(n)  # dealt anew, so that a large component's rows can be split
     classes = cut(known.select("id", "root").join(least, "root").select("id", "component_id"))
     return each.join(classes, "id").select("doc_id", "id", "fp", "component_id")
 
