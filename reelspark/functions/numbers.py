@@ -27,6 +27,11 @@ def floor_div(a, b) -> Column:
     return q - F.when((q * b != a) & ((a < 0) != (b < 0)), 1).otherwise(0)
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def gcd(a, b) -> Column:
     """Greatest common divisor of two non-negative numbers below 2^31."""
     start = F.struct(_c(a).cast("long").alias("a"), _c(b).cast("long").alias("b"))
@@ -39,9 +44,13 @@ def parse_frame_rate(text: Column) -> Column:
     shape = r"^\s*(\d{1,9})(?:/(\d{1,9}))?\s*$"
     num = F.nullif(F.regexp_extract(text, shape, 1), F.lit("")).cast("long")
     den = F.coalesce(F.nullif(F.regexp_extract(text, shape, 2), F.lit("")).cast("long"), F.lit(1).cast("long"))
-    by = F.greatest(gcd(num, den), F.lit(1))
-    rate = F.struct(div(num, by).alias("num"), div(den, by).alias("den"))
-    return F.when(num.isNotNull() & (num > 0) & (den > 0) & (rate["num"] <= MAX_PART) & (rate["den"] <= MAX_PART), rate)
+
+    def reduced(p: Column) -> Column:
+        by = F.when(p["den"] == 1, F.lit(1).cast("long")).otherwise(gcd(p["num"], p["den"]))
+        rate = let(by, lambda g: F.struct(div(p["num"], g).alias("num"), div(p["den"], g).alias("den")))
+        return let(rate, lambda r: F.when((r["num"] <= MAX_PART) & (r["den"] <= MAX_PART), r))
+
+    return let(F.struct(num.alias("num"), den.alias("den")), lambda p: F.when((p["num"] > 0) & (p["den"] > 0), reduced(p)))
 
 
 def frame_ticks(frame, num, den) -> Column:

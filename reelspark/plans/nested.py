@@ -26,8 +26,9 @@ def json_extract(t):
     """A typed record of a probe's answer, with warnings instead of errors."""
     audio = F.size(F.filter("p.streams", lambda s: s["kind"] == "audio")).cast("long")
     fps = N.parse_frame_rate(F.get("p.streams", F.lit(0))["fps"])
-    warnings = F.array_join(F.filter(F.array(F.when(audio == 0, "no audio"), F.when(fps.isNull(), "bad frame rate")), lambda w: w.isNotNull()), ", ")
-    return _probe(t).select("event_id", F.col("p.duration").try_cast("double").alias("duration"), F.size("p.streams").cast("long").alias("n_streams"), audio.alias("n_audio"), fps["num"].alias("fps_num"), warnings.alias("warnings"))
+    warnings = F.array_join(F.filter(F.array(F.when(audio == 0, "no audio"), F.when(F.col("fps").isNull(), "bad frame rate")), lambda w: w.isNotNull()), ", ")
+    rows = _probe(t).withColumn("fps", fps)
+    return rows.select("event_id", F.col("p.duration").try_cast("double").alias("duration"), F.size("p.streams").cast("long").alias("n_streams"), audio.alias("n_audio"), F.col("fps.num").alias("fps_num"), warnings.alias("warnings"))
 
 
 _LOG = """concat(CASE WHEN event_id % 4 = 0 THEN 'PSNR ' ELSE 'STATS ' END, 'frames=', cast(event_id AS {s}), ' skip=', CASE WHEN event_id % 5 = 0 THEN 'many' ELSE cast(event_id % 17 AS {s}) END, ' stray other=7')"""
