@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reelspark.plans import ordered
+from reelspark.plans import ordered  # noqa: F401  registers the SQL used below
 from reelspark.plans.registry import SQL, query
 from reelspark.session import shared_path
 from reelspark.streaming import progress, upsert, windows
@@ -64,6 +64,3 @@ def cube_counts(t):
     rows = t.events.withColumn("d", F.expr("unix_micros(cast(ts AS timestamp)) div 86400000000"))
     out = rows.cube("event_type", "d").agg(F.grouping("event_type").alias("g1"), F.grouping("d").alias("g2"), F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
     return out.select(F.when(F.col("g1") == 0, F.col("event_type")).otherwise("all").alias("event_type"), F.when(F.col("g2") == 0, F.col("d")).otherwise(-1).cast("long").alias("day"), "n", "users")
-
-
-assert ordered  # its SQL is registered before it is used above
