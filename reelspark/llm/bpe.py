@@ -10,7 +10,7 @@ The state after an arc depends on its label alone, and a gadget only refers to
 arcs made before it. So the automaton is kept as the list of its gadgets: a row
 for each token with the operands (where its arcs were copied from) and its
 number, and a table of cut arcs. `arc` follows copies back until it meets a cut
-or two bytes; what it finds is kept in a transition table.
+or two bytes; what it finds is kept in a transition table of bounded size.
 
 Every prefix of a word has one accepted sequence, so encoding needs one pass with
 one state for each position. A second table, over bytes, gives the longest label
@@ -25,6 +25,7 @@ for itself; other columns are carried along untouched, whatever their names.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -39,13 +40,15 @@ from reelspark.llm.textcore import slices
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 START = -1
-CACHE_ENTRIES, CACHE_CHARS = 600_000, 48
+CACHE_ENTRIES, CACHE_CHARS, TABLE_ENTRIES = 300_000, 48, 400_000
 
 #: Fixed value: the white space that the split knows (Unicode's, without the four separators U+001C to U+001F).
 SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and not "\x1c" <= c <= "\x1f")
 #: Fixed value: the pattern that splits texts before the merges, with white space spelt out.
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-BEFORE_SPACE = regex.compile(rf"[{SPACE}] ")
+BEFORE_SPACE = re.compile(f"[{SPACE}] ")
+#: A word, marks behind it, and perhaps a line end, a word and marks again: pieces whose split is plain.
+WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)(?:\n([^\W\d_]+)([!-/:-@\[-`{-~]*))?")
 
 
 def byte_letters() -> dict[int, str]:
@@ -129,7 +132,7 @@ class Automaton:
         known = self.arcs.get(key)
         if known is None:
             known = self.arcs[key] = state == START or self._replay(state, label)
-            if len(self.arcs) > 2_000_000:
+            if len(self.arcs) > TABLE_ENTRIES:
                 self.arcs.clear()
         return known
 
@@ -157,6 +160,9 @@ class Automaton:
             key = node << 8 | byte
             node = steps.get(key)
             if node is None:
+                if len(steps) > TABLE_ENTRIES + len(self.go):
+                    steps.clear()
+                    steps.update(self.go)
                 node = steps[key] = self._step(key >> 8, byte)
             token, size = longest[node], size + 1
             while state := size - len(labels[token]):
@@ -178,7 +184,7 @@ class Automaton:
 
 
 class _Kept(dict):
-    """Results by string, for strings of bounded length and up to a bounded number."""
+    """Results by string, for strings of bounded length in one line and up to a bounded number."""
 
     def __init__(self, make, most: int):
         super().__init__()
@@ -186,7 +192,7 @@ class _Kept(dict):
 
     def __missing__(self, key: str) -> bytes:
         out = self.make(key)
-        if len(key) <= CACHE_CHARS:
+        if len(key) <= CACHE_CHARS and ("\n" not in key or len(key) == 1):
             if len(self) >= self.most:
                 self.clear()
             self[key] = out
@@ -209,7 +215,7 @@ class Encoder:
         self.path, self._library = path, None
         self.words = _Kept(self._word, CACHE_ENTRIES // 4)
         self.heads = _Kept(self._split, CACHE_ENTRIES // 4)
-        self.tails = _Kept(lambda x: self._split(" " + x), CACHE_ENTRIES)
+        self.tails = _Kept(self._tail, CACHE_ENTRIES)
 
     def _split(self, text: str) -> bytes:
         if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text)):
@@ -225,6 +231,17 @@ class Encoder:
             return self._word(words[0])
         return b"".join(map(self.words.__getitem__, words))
 
+    def _tail(self, piece: str) -> bytes:
+        """The ids of a piece with the space before it."""
+        if piece.isalpha():
+            return self._word(" " + piece)
+        if m := WORD_AND_MARKS.fullmatch(piece):
+            word, marks, after, more = m.groups()
+            if word.isalpha() and (after is None or after.isalpha()):
+                out = self.tails[word] + self.words[marks]
+                return out if after is None else out + self.words["\n"] + self.words[after] + (self.words[more] if more else b"")
+        return self._split(" " + piece)
+
     def _word(self, word: str) -> bytes:
         return np.array(self.automaton.word(word.encode()), "<u4").tobytes()
 

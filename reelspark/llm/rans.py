@@ -33,14 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelspark.llm.bpe import SPACE, TOKENIZER, _Kept, byte_letters
+from reelspark.llm.bpe import SPACE, TOKENIZER, WORD_AND_MARKS, _Kept, byte_letters
 from reelspark.llm.textcore import slices, text_buffer
 from reelspark.session import shared_path
 
 #: White space beyond ASCII before a space.
 OTHER_RUNS = [c + " " for c in SPACE if not c.isascii()]
-#: A word, marks behind it, and perhaps a line end, a word and marks again.
-WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)(?:\n([^\W\d_]+)([!-/:-@\[-`{-~]*))?")
 END_ID = 2
 BLOCK, LANES, SEGMENT = 1 << 19, 4096, 1 << 21
 LOW = np.uint64(1 << 31)
