@@ -12,7 +12,9 @@ their concurrent-to identifiers: a group has the records of one capture, never
 more, and gives one nested row.
 
 Which payloads repeat is found on (page_id, digest, length) only; groups are
-reduced to their largest page_id before anything is joined.
+reduced to their largest page_id before anything is joined. The list of revisits
+is checkpointed and counted: up to BROADCAST_BYTES it goes to every task and no
+payload moves; beyond that pages meet it by page_id.
 
 Defined cases: null html is an empty payload; payloads under MIN_REVISIT bytes
 are all responses; a null page_id counts as smaller than any other and stays
@@ -32,9 +34,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.session import shared_path
+from reelspark.session import cut, shared_path
 
 MIN_REVISIT, CAPTURES_PER_FILE = 1000, 2000
+REVISIT_BYTES, BROADCAST_BYTES = 128, 16 << 20
 LINE, END = "\r\n", "\r\n\r\n"
 RECORDS = (
     "record_id string, type string, concurrent_to string, target_uri string, date string, page_id long, refers_to long, "
@@ -68,7 +71,9 @@ def revisits(pages: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
 def write(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", least: int = MIN_REVISIT, compression: str = "gzip") -> None:
     """Writes pages(page_id, url, html) as archives under path."""
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
-    again = revisits(rows, least).withColumnsRenamed({"page_id": "page_id_", "digest": "digest_"})
+    again = cut(revisits(rows, least).withColumnsRenamed({"page_id": "page_id_", "digest": "digest_"}))
+    if again.count() * REVISIT_BYTES <= BROADCAST_BYTES:  # then payloads stay where they are
+        again = F.broadcast(again)
     rows = rows.withColumn("digest", F.sha1("payload"))
     rows = rows.join(again, rows.page_id.eqNullSafe(again.page_id_) & (rows.digest == again.digest_), "left")
     rows = rows.withColumn("row", F.monotonically_increasing_id())

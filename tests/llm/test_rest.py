@@ -78,7 +78,9 @@ def test_sharding(spark, rows):
         before += r.size
 
 
-def test_warc_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("limit", [0, 1 << 24])
+def test_warc_round_trip(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", limit)
     big = "<p>é\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n" + "x" * 1000
     rows = [(1, "http://a/1", big), (2, "http://a/2 b\r\nX: y", big), (3, None, big), (3, None, big), (4, "http://a/4", "small"), (5, "http://a/5", "small"), (6, "http://a/6", None), (None, "http://a/n", big), (None, None, "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS digest", "2 AS payload", "3 AS row")
