@@ -59,7 +59,7 @@ class Tokenizer:
     are words of their own; other pieces go through the whole library.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         from tokenizers import Tokenizer as Library
 
