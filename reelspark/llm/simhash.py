@@ -11,7 +11,9 @@ ones share, and the tables work within a key:
   fingerprints are equal in two blocks at least, and a key is the bits of two
   blocks. No link is lost.
 * several words (for wider links): keys are samples of bits, many enough that
-  linked fingerprints share one with high probability; `bands` says how many.
+  linked fingerprints share one with high probability; `bands` says how many of
+  `key_bits`. From 2 ** key_bits fingerprints on, keys are wider and there are as
+  many more of them as keep that probability at max_distance.
 
 Within a key, the Hamming distances to PIVOTS reference fingerprints are
 computed once for each fingerprint. By the triangle inequality a pair whose
@@ -30,6 +32,7 @@ rows keep a row each; other columns are ignored.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,6 +121,21 @@ def sample_plan(words: int, bands: int, bits: int) -> list[np.ndarray]:
     return [rng.choice(64 * words, bits, replace=False) for _ in range(bands)]
 
 
+def share_of_keys(words: int, max_distance: int, bits: int) -> float:
+    """The chance that a sample of bits has none of max_distance differing bits."""
+    at = np.arange(bits)
+    return float(np.prod(np.maximum(64 * words - max_distance - at, 0) / (64 * words - at)))
+
+
+def wide_plan(words: int, max_distance: int, bands: int, key_bits: int, n: int) -> list[np.ndarray]:
+    """Keys for n fingerprints: wider ones for more of them, and then as many more that a pair at max_distance shares one as often as one of bands keys of key_bits."""
+    bits = min(39, max(key_bits, n.bit_length()))
+    given, wider = (share_of_keys(words, max_distance, b) for b in (key_bits, bits))
+    if bits > key_bits and 0 < wider < given < 1:
+        bands = math.ceil(bands * math.log1p(-given) / math.log1p(-wider))
+    return sample_plan(words, bands, bits)
+
+
 def _banded(distinct: DataFrame, plan: list[np.ndarray]) -> DataFrame:
     """key, id, fp: a row for each key of each fingerprint."""
 
@@ -249,7 +267,7 @@ def groups(docs: DataFrame, shingle: int = 5, words: int = 8, max_distance: int
     if words == 1:
         plan = block_plan(max_distance)
     else:
-        plan = sample_plan(words, bands, min(39, max(key_bits, int(distinct.count()).bit_length())))
+        plan = wide_plan(words, max_distance, bands, key_bits, int(distinct.count()))
     star = stars(edges(distinct, plan, words, max_distance))
     member = star.select(F.col("a").alias("id"), F.col("b").alias("root")).union(star.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
     known = distinct.select("id", "least").join(member, "id", "left").withColumn("root", F.coalesce("root", "id"))

@@ -233,3 +233,16 @@ def test_near_dedup_finds_planted_copies(spark):
     assert kept.columns == df.columns
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == list(range(60)) and ids.count(None) == 1
+
+
+def test_wider_keys_find_as_many_pairs():
+    rng = np.random.default_rng(11)
+    apart = np.zeros((3000, 512), bool)
+    for row in apart:
+        row[rng.choice(512, 78, replace=False)] = True
+    found = {}
+    for n in (1 << 19, 1 << 22, 1 << 23):
+        plan = simhash.wide_plan(8, 78, 40, 20, n)
+        assert {len(p) for p in plan} == {n.bit_length()}
+        found[n] = np.mean(np.any([~apart[:, p].any(1) for p in plan], axis=0))
+    assert min(found.values()) > 0.72 and max(found.values()) - min(found.values()) < 0.04, found
