@@ -21,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, fingerprints at the angle of a similarity of 0.8."""
+    """One document of each group stays: links at a Jaccard similarity of 0.8 of five-word shingles."""
     ship(spark)
     return simhash.clean(docs, shingle=5)
 

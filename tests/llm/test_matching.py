@@ -246,3 +246,28 @@ def test_wider_keys_find_as_many_pairs():
         assert {len(p) for p in plan} == {n.bit_length()}
         found[n] = np.mean(np.any([~apart[:, p].any(1) for p in plan], axis=0))
     assert min(found.values()) > 0.72 and max(found.values()) - min(found.values()) < 0.04, found
+
+
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_clean_equals_brute_force_jaccard(spark, hot):
+    rng = random.Random(9)
+    docs = [(900, "one two"), (901, "One  two"), (902, None), (903, " "), (904, "a b c d e f g h"), (905, "a b c d e f g h i"), (906, "a b c d e f g")]
+    for d in range(40):
+        text = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((12, 30, 120, 300)))]
+        for k in range(6):
+            near = list(text)
+            for at in rng.sample(range(len(near)), k * len(near) // 120):
+                near[at] = "edited"
+            docs.append((10 * d + k, " ".join(near[: len(near) - rng.randrange(3)])))
+    sets = []
+    for _, text in docs:
+        w = (text or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    expected = {min(docs[i][0] for i in range(len(docs)) if root[i] == r) for r in root}
+    kept = simhash.clean(spark.createDataFrame(docs, DOCS), hot_key=hot, hot_set=hot)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(expected)
