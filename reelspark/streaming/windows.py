@@ -18,6 +18,12 @@ def counted(events: DataFrame, width: str, slide: str | None = None, late: str =
     return out.select(F.unix_micros("w.start").alias("start"), F.unix_micros("w.end").alias("end"), "key", "n", "total")
 
 
+def summed(events: DataFrame, width: str) -> DataFrame:
+    """start, end, key, n, sum of a finite table's tumbling windows; nothing is late."""
+    out = events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", width).alias("w"), F.col("event_type").alias("key"))
+    return out.agg(F.count("*").alias("n"), F.sum("value").alias("sum")).select(F.unix_micros("w.start").alias("start"), F.unix_micros("w.end").alias("end"), "key", "n", "sum")
+
+
 def sessions(events: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
     """start, end, user_id, n of sessions that end after a gap."""
     out = _timed(events, late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))

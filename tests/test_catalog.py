@@ -81,3 +81,12 @@ def test_nothing_else_imports_the_optional_subpackage():
     for p in (REPO / "reelspark").rglob("*.py"):
         if "llm" not in p.relative_to(REPO).parts:
             assert "reelspark.llm" not in p.read_text(), p
+
+
+def test_stream_windows_count_all_events_of_files_in_mixed_order(spark, tmp_path):
+    events = spark.read.parquet(f"{FOLDER}/events.parquet")
+    events.orderBy("ts", ascending=False).repartition(9).write.parquet(str(tmp_path / "events.parquet"))
+    found = {(r.start, r.key): (r.n, r.total) for r in catalog.QUERIES["stream_windows"](spark, str(tmp_path)).collect()}
+    expected = {(r[0], r[2]): (r[3], r[4]) for r in duckdb.sql(catalog.SQL["stream_windows"].replace("FROM events", f"FROM '{FOLDER}/events.parquet'")).fetchall()}
+    assert found.keys() == expected.keys() and sum(n for n, _ in found.values()) == events.count()
+    assert all(found[k][0] == expected[k][0] and math.isclose(found[k][1], expected[k][1], abs_tol=1e-3) for k in found)
