@@ -11,7 +11,8 @@ measured as entropies over the host's pages:
 Branches of low importance go from every page. What the markup itself declares
 (navigation, forms, scripts, adverts, notices, comments ...) goes on any host,
 also where there are too few pages for entropies; and an article, where the
-markup declares one, is what is kept, less such branches inside it.
+markup declares one, is what is kept, less such branches and branches of low
+importance inside it.
 
 Merging ships hashes and counts, not texts: counts are added up in each batch,
 again before the exchange, and once more behind it, so a host with a third of
@@ -192,7 +193,7 @@ class Page:
 def extract(page: Page, unimportant: frozenset[int] = frozenset()) -> str:
     """The blocks that are kept, a line each."""
     kept = [b for b in page.blocks if b[1] or not page.has_main]
-    if unimportant and not page.has_main:
+    if unimportant:
         few = [b for b in kept if not unimportant.intersection(b[2])]
         kept = few or kept
     return "\n".join(text for text, _, _ in kept)
@@ -214,9 +215,9 @@ def style_tree(pages: DataFrame) -> DataFrame:
                     seen = {(node, "s", style) for node, style in page.nodes}
                     articles: dict[int, xxhash.xxh64] = {}
                     for block, main, paths in page.blocks:
-                        if main:  # an article is one text
+                        if main:  # an article is one text, beside those of the nodes below it
                             articles.setdefault(main, xxhash.xxh64()).update(block)
-                        else:
+                        if paths[-1] != main:
                             seen.add((paths[-1], "t", xxhash.xxh64_intdigest(block)))
                     seen |= {(node, "t", h.intdigest()) for node, h in articles.items()}
                     counts.update((host, *s) for s in seen)

@@ -229,3 +229,9 @@ def test_all_queries_are_registered():
     names = [k for k in entry.queries() if re.match(r"op\d+_", k)]
     assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 11)) and "pipeline" in entry.queries()
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_shared_boxes_inside_articles_go(spark):
+    page = "<html><body><article><h1>Title {k}</h1><p>Text of its own {k}</p><div class='box'><p>Read our other stories</p></div><p>More text {k}</p></article></body></html>"
+    df = spark.createDataFrame([(k, "http://h.org/x", page.format(k=k)) for k in range(12)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in htmltree.main_text(df).collect()} == {k: f"Title {k}\nText of its own {k}\nMore text {k}" for k in range(12)}
