@@ -49,7 +49,7 @@ def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
-    found = simhash.groups(_table(spark, folder, "documents"), shingle=4, words=1, max_distance=4)
+    found = simhash.groups(_table(spark, folder, "documents"), shingle=4, max_distance=4)
     return found.select("doc_id", simhash.hex_digits("id").alias("fingerprint"), "component_id")
 
 

@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: pivot distance tables over banded fingerprints.
+"""SimHash near-duplicates: pivot distance tables over dealt fingerprints.
 
 A fingerprint bit is set if it is set in more than half of the hashes of a text's
 word shingles. Fingerprints link at max_distance or fewer differing bits.
@@ -7,21 +7,27 @@ Distance tables alone would have to compare all pairs, which grows with the
 square of the input. So distinct fingerprints are first dealt by keys that linked
 ones share, and the tables work within a key:
 
-* one word of 64 bits: the bits are cut into max_distance + 2 blocks; linked
-  fingerprints are equal in two blocks at least, and a key is the bits of two
-  blocks. No link is lost.
-* several words (for wider links): keys are samples of bits, many enough that
-  linked fingerprints share one with high probability; `bands` says how many of
-  `key_bits`. From 2 ** key_bits fingerprints on, keys are wider and there are as
-  many more of them as keep that probability at max_distance.
-
-Within a key, the Hamming distances to PIVOTS reference fingerprints are
-computed once for each fingerprint. By the triangle inequality a pair whose
-distances to some reference differ by more than the limit cannot link and is
-discarded; survivors are verified by their own distance. Keys with more than
-HOT_KEY fingerprints are cut into parts, and each pair of parts is a task of its
-own. A task passes on a spanning forest of its links, never all pairs, and the
-components of all forests are found by star operations.
+* `groups` (64 bits): the bits are cut into max_distance + m blocks; linked
+  fingerprints are equal in m blocks at least, and a key is the bits of m blocks.
+  No link is lost at any m; more fingerprints take a larger m, so that keys hold
+  few of them (`block_plan`).
+* `similar` (512 bits): links are a Jaccard similarity of the sets of shingles,
+  compared in full; fingerprints only find candidates. A key is made of ROWS least
+  hashes, and there are BANDS of them at every size of the input: two sets at
+  similarity s share no key with probability (1 - s ** ROWS) ** BANDS, which is
+  5 in 100 million at 0.8 and less above.
+
+Within a key, fingerprints become references one after the other until PIVOTS of
+them are taken or each fingerprint links to one. The Hamming distances to all
+references are computed once for each fingerprint. By the triangle inequality a
+pair whose distances to some reference differ by more than the limit cannot link
+and is discarded: fingerprints are sorted by their distance to the first
+reference, so a scan stops at the limit, and the table discards among the rest.
+Survivors are verified by their own distance. What is linked already is not
+compared again, so a large group of copies costs a few passes. Keys with more
+than HOT_KEY fingerprints are cut into parts, and each pair of parts is a task of
+its own. A task passes on a spanning forest of its links, never all pairs, and
+the components of all forests are found by star operations.
 
 Defined cases: a null text counts as empty; no words give fingerprint zero,
 linked like any other; fewer words than a shingle give one shingle of all words;
@@ -32,7 +38,6 @@ rows keep a row each; other columns are ignored.
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +50,11 @@ from reelspark.llm.components import stars
 from reelspark.llm.textcore import mix, slices, text_buffer, word_spans
 from reelspark.session import cut
 
-SEED, PIVOTS, HOT_KEY = 42, 24, 4096
+SEED, PIVOTS, HOT_KEY = 42, 24, 1 << 15
+#: Keys of a set of shingles, how many least hashes make one, and how many hashes of shingles a task compares sets in.
+BANDS, ROWS, HOT_SETS = 32, 4, 2_000_000
+#: Fingerprints that a key should hold at most on average, and bytes of a list that goes to every task.
+KEY_LOAD, BROADCAST_BYTES = 256, 16 << 20
 #: A byte's bits, a byte each, so that up to 255 rows can be summed in one integer.
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -96,44 +105,26 @@ def fingerprints_of(hashes: np.ndarray, per: np.ndarray, words: int = 1) -> np.n
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int, words: int = 1) -> DataFrame:
-    """doc_id, id (of the fingerprint; itself if it has one word) and fp (binary, little-endian)."""
+def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, id (the fingerprint) and fp (the same in binary, little-endian)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                fps = fingerprints_of(*shingle_hashes(*text_buffer(batch.column(1)), shingle), words)
+                fps = fingerprints_of(*shingle_hashes(*text_buffer(batch.column(1)), shingle))
                 raw = [row.tobytes() for row in fps.astype("<u8")]
-                ids = fps[:, 0] if words == 1 else np.array([xxhash.xxh64_intdigest(r, SEED) for r in raw], np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids.view(np.int64)), pa.array(raw, pa.binary())], names=["doc_id", "id", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps[:, 0].view(np.int64)), pa.array(raw, pa.binary())], names=["doc_id", "id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, id long, fp binary")
 
 
-def block_plan(max_distance: int) -> list[np.ndarray]:
-    """Bit positions of each key for one word: all pairs of max_distance + 2 blocks."""
-    blocks = np.array_split(np.arange(64), max_distance + 2)
-    return [np.concatenate(pair) for pair in itertools.combinations(blocks, 2)]
-
-
-def sample_plan(words: int, bands: int, bits: int) -> list[np.ndarray]:
-    rng = np.random.default_rng(SEED)
-    return [rng.choice(64 * words, bits, replace=False) for _ in range(bands)]
-
-
-def share_of_keys(words: int, max_distance: int, bits: int) -> float:
-    """The chance that a sample of bits has none of max_distance differing bits."""
-    at = np.arange(bits)
-    return float(np.prod(np.maximum(64 * words - max_distance - at, 0) / (64 * words - at)))
-
-
-def wide_plan(words: int, max_distance: int, bands: int, key_bits: int, n: int) -> list[np.ndarray]:
-    """Keys for n fingerprints: wider ones for more of them, and then as many more that a pair at max_distance shares one as often as one of bands keys of key_bits."""
-    bits = min(39, max(key_bits, n.bit_length()))
-    given, wider = (share_of_keys(words, max_distance, b) for b in (key_bits, bits))
-    if bits > key_bits and 0 < wider < given < 1:
-        bands = math.ceil(bands * math.log1p(-given) / math.log1p(-wider))
-    return sample_plan(words, bands, bits)
+def block_plan(max_distance: int, n: int = 0) -> list[np.ndarray]:
+    """Bit positions of each key for n fingerprints of 64 bits: all choices of m of max_distance + m blocks, m = 2 or the least for KEY_LOAD."""
+    for m in range(2, 5):
+        if n <= KEY_LOAD << 64 * m // (max_distance + m):
+            break
+    blocks = np.array_split(np.arange(64), max_distance + m)
+    return [np.concatenate(some) for some in itertools.combinations(blocks, m)]
 
 
 def _banded(distinct: DataFrame, plan: list[np.ndarray]) -> DataFrame:
@@ -172,31 +163,74 @@ class Forest:
                 root[:] = up
 
 
-def links(key: np.ndarray, part: np.ndarray, fps: np.ndarray, max_distance: int) -> np.ndarray:
-    """Rows sorted by key -> the root row of each row's component by links within keys.
+def _near(fps: np.ndarray, table: np.ndarray, rows: np.ndarray, max_distance: int, forest: Forest, others: np.ndarray) -> None:
+    """Adds the links of rows with others (sorted by their distance to the first reference) that are not in one component yet."""
+    first = table[others, 0]
+    low, high = np.searchsorted(first, table[rows, 0] - max_distance), np.searchsorted(first, table[rows, 0] + max_distance, side="right")
+    done = 0
+    while done < len(rows):
+        size = np.cumsum(high[done:] - low[done:])
+        to = done + max(1, int(np.searchsorted(size, 1 << 18, side="right")))
+        width = high[done:to] - low[done:to]
+        a = np.repeat(rows[done:to], width)
+        b = others[np.arange(len(a)) - np.repeat(np.cumsum(width) - width - low[done:to], width)]
+        apart = forest.root[a] != forest.root[b]
+        a, b = a[apart], b[apart]
+        for column in table.T[1:]:
+            near = np.abs(column[a] - column[b]) <= max_distance
+            a, b = a[near], b[near]
+        near = np.bitwise_count(fps[a] ^ fps[b]).sum(1, dtype=np.int64) <= max_distance
+        forest.add(a[near], b[near])
+        done = to
 
-    part is 0, or tells which of two parts of a hot key a row comes from (1, 2):
-    only pairs of different parts are then looked at, or of part 3 with itself.
+
+def key_links(fps: np.ndarray, part: np.ndarray, max_distance: int) -> np.ndarray:
+    """The root row of each row's component by links among the rows of one key.
+
+    part is 0 or 3 for all pairs, or tells which of two parts of a hot key a row
+    comes from (1, 2): only pairs of different parts then need to be looked at.
     """
+    n = len(fps)
+    forest = Forest(n)
+    both = part[0] in (0, 3)
+    distance = lambda row: np.bitwise_count(fps ^ fps[row]).sum(1, dtype=np.int16)
+    unlinked, columns = np.ones(n, bool), []
+    while len(columns) < PIVOTS and (left := np.flatnonzero(unlinked)).size:
+        row = left[0]
+        columns.append(distance(row))
+        near = np.flatnonzero(columns[-1] <= max_distance)  # also of the same part: a link is a link
+        forest.add(near, np.full(len(near), row))
+        unlinked[near] = False
+    root = forest.root
+    if both:
+        largest = np.bincount(root, minlength=n).argmax()
+        rows = np.flatnonzero(root != largest)
+        sides = [(rows, np.arange(n))]
+    else:
+        sides = [(np.flatnonzero(part == 1), np.flatnonzero(part == 2))]
+    table = np.stack(columns, axis=1)
+    for rows, others in sides:
+        if len(rows) and len(others):
+            _near(fps, table, rows, max_distance, forest, others[np.argsort(table[others, 0], kind="stable")])
+    return forest.root
+
+
+def links(key: np.ndarray, part: np.ndarray, fps: np.ndarray, max_distance: int) -> np.ndarray:
+    """Rows sorted by key -> the root row of each row's component by links within keys; part as in key_links."""
     n = len(key)
     forest = Forest(n)
-    if n < 2:
-        return forest.root
-    rng = np.random.default_rng(SEED)
-    pivots = rng.integers(0, 1 << 64, (PIVOTS, fps.shape[1]), dtype=np.uint64)
-    table = np.stack([np.bitwise_count(fps ^ p).sum(1, dtype=np.int16) for p in pivots], axis=1)
-    ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, n)
-    left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n)  # rows from here to the key's end
-    rows, step = np.arange(n), 0
+    ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, n) if n else np.zeros(0, np.int64)
+    size = np.diff(ends, prepend=0)
+    small = np.repeat(size <= PIVOTS, size) & (part % 3 == 0)  # all pairs of few rows, for all such keys at once
+    left, rows, step = np.repeat(ends, size) - np.arange(n), np.flatnonzero(small), 0  # rows from here to the key's end
     while len(rows := rows[left[rows] > (step := step + 1)]):
-        i = rows[(part[rows] != part[rows + step]) | (part[rows] % 3 == 0)]
-        for at in range(0, len(i), 1 << 18):
-            a = i[at : at + (1 << 18)]
-            b = a + step
-            near = np.abs(table[a] - table[b]).max(1) <= max_distance
-            a, b = a[near], b[near]
-            near = np.bitwise_count(fps[a] ^ fps[b]).sum(1, dtype=np.int64) <= max_distance
-            forest.add(a[near], b[near])
+        for at in range(0, len(rows), 1 << 18):
+            a = rows[at : at + (1 << 18)]
+            near = np.bitwise_count(fps[a] ^ fps[a + step]).sum(1, dtype=np.int64) <= max_distance
+            forest.add(a[near], a[near] + step)
+    for end, rows in zip(ends.tolist(), size.tolist(), strict=True):
+        if rows > 1 and not small[end - 1]:
+            forest.root[end - rows : end] = key_links(fps[end - rows : end], part[end - rows : end], max_distance) + end - rows
     return forest.root
 
 
@@ -222,7 +256,7 @@ def _linked(rows: DataFrame, words: int, max_distance: int) -> DataFrame:
                 child = np.flatnonzero(root != np.arange(len(root)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[child]), pa.array(ids[root[child]])], names=["a", "b"])
 
-        limit = 1 << 16
+        limit = 1 << 16  # rows that are linked at a time, or one key's
         for batch in batches:
             raw, _ = text_buffer(batch.column(3))
             key, sub, ids = (batch.column(k).to_numpy() for k in range(3))
@@ -254,67 +288,82 @@ def _dealt(rows: DataFrame, payload: str, hot_key: int) -> DataFrame:
     return rows.select("key", "sub", "id", payload).repartition(n, "key", F.shiftright("sub", 2)).sortWithinPartitions("key", F.shiftright("sub", 2), "id")
 
 
-def edges(distinct: DataFrame, plan: list[np.ndarray], words: int, max_distance: int, hot_key: int = HOT_KEY) -> DataFrame:
-    """Links between distinct(id, fp), as forests of each key."""
-    return _linked(_dealt(_banded(distinct, plan), "fp", hot_key), words, max_distance)
+def edges(distinct: DataFrame, plan: list[np.ndarray], max_distance: int, hot_key: int = HOT_KEY) -> DataFrame:
+    """Links between distinct(id, fp of 64 bits), as forests of each key."""
+    return _linked(_dealt(_banded(distinct, plan), "fp", hot_key), 1, max_distance)
 
 
 def _components(each: DataFrame, distinct: DataFrame, star: DataFrame) -> DataFrame:
-    """each with the smallest doc_id of its component."""
+    """each with a root (id) of its component, and the component's smallest doc_id."""
     member = star.select(F.col("a").alias("id"), F.col("b").alias("root")).union(star.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
     known = distinct.select("id", "least").join(member, "id", "left").withColumn("root", F.coalesce("root", "id"))
     n = int(each.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     least = known.groupBy("root").agg(F.min("least").alias("component_id")).repartition(n)  # dealt anew, so that a large component's rows can be split
-    classes = cut(known.select("id", "root").join(least, "root").select("id", "component_id"))
-    return each.join(classes, "id").select(*each.columns, "component_id")
+    classes = cut(known.select("id", "root").join(least, "root").select("id", "root", "component_id"))
+    return each.join(classes, "id").select(*each.columns, "root", "component_id")
 
 
-def groups(docs: DataFrame, shingle: int = 5, words: int = 8, max_distance: int = 78, bands: int = 40, key_bits: int = 20) -> DataFrame:
-    """doc_id, id, fp, component_id for every document. words=1 takes the lossless keys; bands and key_bits are for more words.
-
-    With W words, max_distance / 64 W is the share of differing bits: 0.152 is
-    the angle between equally long texts with a Jaccard similarity of 0.8.
-    """
-    each = cut(fingerprints(docs, shingle, words))
+def groups(docs: DataFrame, shingle: int = 4, max_distance: int = 4, hot_key: int = HOT_KEY) -> DataFrame:
+    """doc_id, id (the fingerprint of 64 bits), fp, root (a fingerprint of its component), component_id for every document."""
+    each = cut(fingerprints(docs, shingle))
     distinct = cut(each.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")))
-    if words == 1:
-        plan = block_plan(max_distance)
-    else:
-        plan = wide_plan(words, max_distance, bands, key_bits, int(distinct.count()))
-    return _components(each, distinct, stars(edges(distinct, plan, words, max_distance)))
+    return _components(each, distinct, stars(edges(distinct, block_plan(max_distance, distinct.count()), max_distance, hot_key)))
+
 
+def _sets(hashes: np.ndarray, per: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct hashes of each text, sorted, and their ids."""
+    grams = [np.unique(h).astype("<u8").tobytes() for h in np.split(hashes, np.cumsum(per)[:-1])]
+    return grams, np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], np.uint64).view(np.int64)
 
-def gram_sets(docs: DataFrame, shingle: int, words: int) -> DataFrame:
-    """row, doc_id, id (of the set of shingles), fp and grams (its sorted hashes) of every row."""
+
+def band_keys(hashes: np.ndarray, per: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """(texts, bands): keys of `rows` least hashes each; texts without shingles have the same keys."""
+    some = np.flatnonzero(per)
+    begin = (np.cumsum(per) - per)[some]
+    rng = np.random.default_rng(SEED)
+    keys = np.zeros((len(per), bands), np.uint64)
+    for band in range(bands):
+        key = np.full(len(some), band, np.uint64)
+        for salt, odd in rng.integers(0, 1 << 64, (rows, 2), dtype=np.uint64):
+            if len(some):
+                key = mix(key + np.minimum.reduceat((hashes ^ salt) * (odd | np.uint64(1)), begin))
+        keys[some, band] = key
+    return keys.view(np.int64)
+
+
+def signatures(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    """doc_id, content (a hash of the text), id (of the set of shingles), fp and keys of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
                 hashes, per = shingle_hashes(*text_buffer(batch.column(1)), shingle)
                 fps = [row.tobytes() for row in fingerprints_of(hashes, per, words).astype("<u8")]
-                grams = [np.unique(h).astype("<u8").tobytes() for h in np.split(hashes, np.cumsum(per)[:-1])]
-                ids = np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids), pa.array(fps, pa.binary()), pa.array(grams, pa.binary())], names=["doc_id", "id", "fp", "grams"])
+                keys = [row.tobytes() for row in band_keys(hashes, per).astype("<i8")]
+                cols = [batch.column(0), batch.column(2), pa.array(_sets(hashes, per)[1]), pa.array(fps, pa.binary()), pa.array(keys, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "content", "id", "fp", "keys"])
+
+    return _source(docs).mapInArrow(run, "doc_id long, content long, id long, fp binary, keys binary")
+
 
-    sets = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, id long, fp binary, grams binary")
-    return sets.withColumn("row", F.monotonically_increasing_id())
+def _content():
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def heads(sets: DataFrame, similarity: float) -> DataFrame:
-    """key, id: the least n - ceil(similarity n) + 1 hashes of each set of n. Sets at that Jaccard similarity or above share one; no link is lost."""
+def _source(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _content().alias("content"))
+
+
+def _keyed(distinct: DataFrame) -> DataFrame:
+    """key, id: a row for each key of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                raw, offsets = text_buffer(batch.column(1))
-                grams, first = raw.view("<i8"), offsets // 8
-                n = np.diff(first)
-                take = np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
-                at_ = np.arange(int(take.sum())) - np.repeat(np.cumsum(take) - take - first[:-1], take)
-                yield pa.RecordBatch.from_arrays([pa.array(grams[at_]), pa.array(np.repeat(batch.column(0).to_numpy(), take))], names=["key", "id"])
+        for batch in batches:
+            keys = text_buffer(batch.column(1))[0].view("<i8")
+            if len(keys):
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(), len(keys) // batch.num_rows))], names=["key", "id"])
 
-    return sets.select("id", "grams").mapInArrow(run, "key long, id long")
+    return distinct.select("id", "keys").mapInArrow(run, "key long, id long")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -337,23 +386,74 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, id long")
 
 
+def _listed(table: DataFrame, row_bytes: int) -> DataFrame:
+    """A checkpointed table, marked to go to every task if its counted rows allow that."""
+    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
+
+
+def gram_sets(docs: DataFrame, member: DataFrame, shingle: int) -> DataFrame:
+    """key, id and grams (the sorted hashes) for each row of member(key, id, at_doc, at_content); the two last tell a row that has the set."""
+    rows = _source(docs)
+    rows = rows.join(_listed(member, 40), rows.doc_id.eqNullSafe(member.at_doc) & (rows.content == member.at_content)).select("key", "id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                grams, ids = _sets(*shingle_hashes(*text_buffer(batch.column(2)), shingle))
+                own = ids == batch.column(1).to_numpy()  # False: another text with the same hash
+                out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(grams, pa.binary())], names=["key", "id", "grams"])
+                yield out.filter(pa.array(own))
+
+    return rows.mapInArrow(run, "key long, id long, grams binary").groupBy("key", "id").agg(F.first("grams").alias("grams"))
+
+
+class Postings:
+    """Which of some sets hold each hash."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = np.array([len(x) for x in sets])
+        self.first = np.cumsum(self.n) - self.n
+        _, self.token = np.unique(np.concatenate(sets), return_inverse=True)
+        self.owners = np.repeat(np.arange(len(sets)), self.n)[np.argsort(self.token, kind="stable")]
+        self.ends = np.cumsum(np.bincount(self.token)) if len(self.token) else np.zeros(0, np.int64)
+        self.begins = np.diff(self.ends, prepend=0)
+        self.begins = self.ends - self.begins
+
+    def like(self, i: int, similarity: float) -> np.ndarray:
+        """The sets whose Jaccard similarity to set i is at least that, i included if it has any hash."""
+        t = self.token[self.first[i] : self.first[i] + self.n[i]]
+        a, size = self.begins[t], self.ends[t] - self.begins[t]
+        met = self.owners[np.arange(int(size.sum())) + np.repeat(a - (np.cumsum(size) - size), size)]
+        common = np.bincount(met, minlength=len(self.n))
+        return np.flatnonzero((common >= similarity * (self.n + self.n[i] - common) - 1e-9) & (common > 0))
+
+
 def resembling(part: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """The root row of each row's component by exact Jaccard similarity; part as in links."""
-    n = np.array([len(x) for x in sets])
-    forest, owner = Forest(len(sets)), np.repeat(np.arange(len(sets)), n)
-    _, token = np.unique(np.concatenate(sets), return_inverse=True)
-    posts = owner[np.argsort(token, kind="stable")]
-    ends = np.cumsum(np.bincount(token))
-    begins = np.diff(ends, prepend=0)
-    begins = ends - begins
-    first = np.cumsum(n) - n
-    for i in range(len(sets)):
-        a, b = begins[t := token[first[i] : first[i] + n[i]]], ends[t]
-        size = b - a
-        met = posts[np.arange(int(size.sum())) + np.repeat(a - (np.cumsum(size) - size), size)]
-        common = np.bincount(met, minlength=len(sets))
-        j = np.flatnonzero((common >= similarity * (n + n[i] - common)) & ((part != part[i]) | (part % 3 == 0)) & (common > 0))
+    """The root row of each row's component by exact Jaccard similarity; part as in key_links.
+
+    A row that an earlier one has linked is put off: it is compared only if its
+    component is not the largest in the end, whose rows cannot gain a link that
+    rows outside it do not find as well.
+    """
+    forest, posts = Forest(len(sets)), Postings(sets)
+
+    def compare(i: int) -> np.ndarray:
+        j = posts.like(i, similarity)
         forest.add(np.full(len(j), i), j)
+        return j
+
+    if part[0] in (1, 2):
+        for i in np.flatnonzero(part == (1 if (part == 1).sum() <= (part == 2).sum() else 2)).tolist():
+            compare(i)
+        return forest.root
+    todo = np.ones(len(sets), bool)
+    linked = np.zeros(len(sets), bool)
+    for i in range(len(sets)):
+        if not linked[i]:
+            todo[i] = False
+            linked[compare(i)] = True
+    for i in np.flatnonzero(todo & (forest.root != np.bincount(forest.root).argmax())).tolist():
+        compare(i)
     return forest.root
 
 
@@ -381,24 +481,75 @@ def _verified(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 8, candidate_distance: int = 140, hot_key: int = HOT_KEY, hot_set: int = 1024) -> DataFrame:
-    """doc_id, id (of the set of shingles), component_id for every document, by links of exact Jaccard similarity.
+def _apart(rows: DataFrame) -> DataFrame:
+    """rows(key, id, grams, head) with their Jaccard distance (apart) to the head's set instead of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = []
+            for grams, head in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                a, b = np.frombuffer(grams, "<u8"), np.frombuffer(head, "<u8")
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                apart.append(1 - common / max(len(a) + len(b) - common, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(apart, pa.float64())], names=["key", "id", "grams", "apart"])
+
+    return rows.mapInArrow(run, "key long, id long, grams binary, apart double")
+
+
+def _verify(member: DataFrame, similarity: float, hot_sets: int) -> DataFrame:
+    """Edges (a, b) by which all components of exact links within each key of member(key, id, grams) hold together.
+
+    A key's sets are compared in one task up to hot_sets hashes. Of larger keys
+    all sets are first compared with the one of the least id. Those not linked to
+    it (far) are compared with each other and with those of the linked ones (close)
+    that the triangle inequality of the Jaccard distance leaves; both are dealt
+    into parts, and pairs of parts are tasks.
+    """
+    n = int(member.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["key", F.shiftright("sub", 2), "id"]
+    weight = F.octet_length("grams") / 8
+    hot = cut(member.groupBy("key").agg(F.sum(weight).alias("hashes"), F.min("id").alias("head_id")).where(F.col("hashes") > hot_sets))
+    tasks, found = member.select("key", F.lit(0).cast("long").alias("sub"), "id", "grams"), None
+    if not hot.isEmpty():
+        big = member.join(hot.select("key", "head_id"), "key")
+        heads = big.where("id = head_id").select("key", "head_id", F.col("grams").alias("head"))
+        others = big.drop("head_id").join(heads, "key").where("id <> head_id")
+        scored = cut(_apart(others.select("key", "id", "grams", "head")))
+        near = F.col("apart") <= 1 - similarity + 1e-9
+        found = scored.where(near).join(hot, "key").select(F.col("id").alias("a"), F.col("head_id").alias("b"))
+        far = scored.where(~near).groupBy("key").agg(F.min("apart").alias("least"), F.ceil(F.sum(weight) / hot_sets).alias("far_parts"))
+        close = scored.where(near).join(far, "key").where(F.col("apart") >= F.col("least") - (1 - similarity) - 1e-9)
+        parts = cut(far.join(close.groupBy("key").agg(F.ceil(F.sum(weight) / hot_sets).alias("close_parts")), "key", "left").na.fill(0, ["close_parts"]))
+        rows = scored.withColumn("near", near).join(parts, "key").where(~F.col("near") | (F.col("apart") >= F.col("least") - (1 - similarity) - 1e-9))
+        own = F.pmod(F.xxhash64("id"), F.when(F.col("near"), F.col("close_parts")).otherwise(F.col("far_parts"))) + F.when(F.col("near"), F.col("far_parts")).otherwise(0)
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("near"), F.col("far_parts")).otherwise(F.col("far_parts") + F.col("close_parts")) - 1))
+        rows = rows.withColumn("own", own).withColumn("other", other)
+        kind = F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2)
+        task = F.least("own", "other") * (F.col("far_parts") + F.col("close_parts")) + F.greatest("own", "other") + 1
+        rows = rows.select("key", (task * 4 + kind).cast("long").alias("sub"), "id", "grams")
+        tasks = tasks.join(hot.select("key"), "key", "left_anti").union(rows)
+    edges = _verified(tasks.repartition(n, "key", F.shiftright("sub", 2)).sortWithinPartitions(*order), similarity)
+    return edges if found is None else edges.union(found)
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 8, candidate_distance: int = 140, hot_key: int = HOT_KEY, hot_sets: int = HOT_SETS) -> DataFrame:
+    """doc_id, content, id (of the set of shingles), root, component_id for every document, by links of exact Jaccard similarity.
 
-    Fingerprints only find candidates: among sets that share one of their least
-    hashes, those at candidate_distance or less. At similarity 0.8 fingerprints of
-    512 bits differ in 78 bits, with a deviation of 8 (96 and 9 for 4 of 5
-    shingles), so 140 is 5 deviations off at least. Components of candidates are
-    then compared in full.
+    Fingerprints only find candidates: among sets that share a key, those at
+    candidate_distance or less. At similarity 0.8 fingerprints of 512 bits differ
+    in 78 bits, with a deviation of 8 (96 and 9 for 4 of 5 shingles), so 140 is 5
+    deviations off at least. Components of candidates are then compared in full.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = cut(gram_sets(docs, shingle, words))
-    distinct = cut(each.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.min("row").alias("row")))
-    keys = heads(each, similarity).dropDuplicates(["key", "id"]).repartition(n, "key").sortWithinPartitions("key")
-    rows = cut(_shared(keys)).join(distinct.select("id", "fp"), "id")
+    each = cut(signatures(docs, shingle, words))
+    at = F.min(F.struct("doc_id", "content"))
+    distinct = cut(each.groupBy("id").agg(F.min("doc_id").alias("least"), at.alias("at"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    rows = cut(_shared(_keyed(distinct).repartition(n, "key").sortWithinPartitions("key"))).join(distinct.select("id", "fp"), "id")
     near = stars(_linked(_dealt(rows, "fp", hot_key), words, candidate_distance))
     member = near.select(F.col("a").alias("id"), F.col("b").alias("key")).union(near.select(F.col("b").alias("id"), F.col("b").alias("key")).distinct())
-    member = cut(member.join(distinct.select("id", "row"), "id").join(each.select("row", "grams"), "row").select("key", "id", "grams"))
-    return _components(each.select("doc_id", "id"), distinct, stars(_verified(_dealt(member, "grams", hot_set), similarity)))
+    member = cut(member.join(distinct.select("id", F.col("at.doc_id").alias("at_doc"), F.col("at.content").alias("at_content")), "id"))
+    sets = cut(gram_sets(docs, member, shingle))
+    return _components(each.select("doc_id", "content", "id"), distinct, stars(_verify(sets, similarity, hot_sets)))
 
 
 def hex_digits(number):
@@ -407,12 +558,26 @@ def hex_digits(number):
 
 
 def clean(docs: DataFrame, **how) -> DataFrame:
-    """docs with one row of each group: that of the smallest doc_id.
+    """docs with one row of each group: that of the smallest doc_id, of equal ones that of the least hash of its text.
 
-    Of rows with equal doc_id one stays; rows without a doc_id cannot stand for
-    a group and all stay.
+    Rows without a doc_id cannot stand for a group and all stay.
     """
-    found = similar(docs.select("doc_id", "text"), **how)
-    winners = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(winners, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    found = similar(docs.select("doc_id", "text"), **how).where("doc_id IS NOT NULL")
+    first = F.col("doc_id") == F.col("component_id")
+    rows = cut(found.groupBy("doc_id", "content").agg(F.first("root").alias("root"), F.first("component_id").alias("component_id"), F.count("*").alias("rows")))
+    several = rows.where(first).groupBy("root").agg(F.min("content").alias("winner"), F.count("*").alias("texts")).where("texts > 1")
+    beaten = rows.where(first).join(several, "root").where("content <> winner").select("doc_id", "content")
+    gone = cut(rows.where(~first).select("doc_id", "content").union(beaten).withColumnsRenamed({"doc_id": "gone_doc", "content": "gone_content"}))
+    kept = docs.join(_listed(gone, 32), (docs.doc_id.cast("long") == gone.gone_doc) & (_content() == gone.gone_content), "left_anti")
+    if rows.where(first & (F.col("rows") > 1)).isEmpty():
+        return kept
+    own = _free("content", docs.columns)
+    kept = kept.withColumn(own, _content())
+    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", own]).unionByName(kept.where("doc_id IS NULL")).drop(own)
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """A column name that is not taken."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name

@@ -180,9 +180,9 @@ def test_simhash_equals_brute_force(spark):
     df = spark.createDataFrame(docs, DOCS).selectExpr("*", "1 AS id", "'f' AS fp", "0 AS component_id")
     fps = [simhash_of(t, 4) for _, t in docs]
     expected = sorted(zip([d for d, _ in docs], [format(f, "016x") for f in fps], classes([d for d, _ in docs], fps, 4), strict=True), key=str)
-    got = simhash.groups(df, shingle=4, words=1, max_distance=4)
+    got = simhash.groups(df, shingle=4, max_distance=4)
     assert sorted((tuple(r) for r in got.select("doc_id", simhash.hex_digits("id"), "component_id").collect()), key=str) == expected
-    assert simhash.groups(df.limit(0), shingle=4, words=1, max_distance=4).count() == 0
+    assert simhash.groups(df.limit(0), shingle=4, max_distance=4).count() == 0
 
 
 def test_shingle_hash_is_the_engines(spark):
@@ -193,20 +193,44 @@ def test_shingle_hash_is_the_engines(spark):
     assert per.tolist() == [1] and int(hashes.view(np.int64)[0]) == r.h
 
 
-@pytest.mark.parametrize("hot_key", [4096, 8])
-def test_links_within_hot_keys(spark, hot_key):
+@pytest.mark.parametrize(("hot_key", "n"), [(4096, 0), (8, 0), (4096, 1 << 40)])
+def test_links_within_hot_keys(spark, hot_key, n):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 64, 30, dtype=np.uint64)
     fps = sorted({int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 4), replace=False)) for b in base for _ in range(12)} | {int(x) & 0xFFFF for x in base})
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     df = spark.createDataFrame([(s, f.to_bytes(8, "little")) for s, f in zip(signed, fps, strict=True)], "id long, fp binary")
-    star = components.stars(simhash.edges(df, simhash.block_plan(4), 1, 4, hot_key)).collect()
+    plan = simhash.block_plan(4, n)
+    assert len(plan) == (70 if n else 15)
+    star = components.stars(simhash.edges(df, plan, 4, hot_key)).collect()
     root = {s: s for s in signed} | {r.a: r.b for r in star}
     expected = classes(signed, fps, 4)
     groups = lambda labels: {frozenset(s for s, x in zip(signed, labels, strict=True) if x == y) for y in labels}
     assert groups([root[s] for s in signed]) == groups(expected)
 
 
+@pytest.mark.parametrize("parts", [False, True])
+def test_key_links_equal_all_pairs(parts):
+    rng = np.random.default_rng(8)
+    for words, limit in ((1, 4), (2, 30)):
+        base = rng.integers(0, 1 << 64, (70, words), dtype=np.uint64)
+        flips = rng.random((700, 64 * words)) < limit / 200 / words
+        fps = base[rng.integers(0, 70, 700)] ^ np.packbits(flips, axis=1, bitorder="little").view("<u8")
+        fps[:300] = base[0] ^ np.packbits(rng.random((300, 64 * words)) < 0.03, axis=1, bitorder="little").view("<u8")
+        part = np.array([1, 2])[np.arange(700) % 2] if parts else np.zeros(700, np.int64)
+        near = np.bitwise_count(fps[:, None] ^ fps[None]).sum(2, dtype=np.int64) <= limit
+        if parts:
+            near &= part[:, None] != part[None]
+        whole = simhash.Forest(700)
+        whole.add(*np.nonzero(near))
+        got = simhash.links(np.zeros(700, np.int64), part, fps, limit)
+        if not parts:
+            assert np.array_equal(got, whole.root)
+        else:  # more links of one part may be found as well
+            for root in np.unique(whole.root):
+                assert len(set(got[whole.root == root].tolist())) == 1
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
     got = {r.a: r.b for r in components.stars(edges).collect()}
@@ -235,21 +259,22 @@ def test_near_dedup_finds_planted_copies(spark):
     assert sorted(i for i in ids if i is not None) == list(range(60)) and ids.count(None) == 1
 
 
-def test_wider_keys_find_as_many_pairs():
-    rng = np.random.default_rng(11)
-    apart = np.zeros((3000, 512), bool)
-    for row in apart:
-        row[rng.choice(512, 78, replace=False)] = True
-    found = {}
-    for n in (1 << 19, 1 << 22, 1 << 23):
-        plan = simhash.wide_plan(8, 78, 40, 20, n)
-        assert {len(p) for p in plan} == {n.bit_length()}
-        found[n] = np.mean(np.any([~apart[:, p].any(1) for p in plan], axis=0))
-    assert min(found.values()) > 0.72 and max(found.values()) - min(found.values()) < 0.04, found
+@pytest.mark.parametrize("size", [25, 100, 1000])
+def test_keys_of_sets_find_pairs_right_at_the_limit(size):
+    rng = np.random.default_rng(size)
+    pairs, common = 400, size * 8 // 9 + 1  # common / (2 size - common) is 0.8 or a little more
+    hashes = []
+    for _ in range(pairs):
+        all_ = rng.integers(0, 1 << 64, 2 * size - common, dtype=np.uint64)
+        hashes += [all_[:size], all_[-size:]]
+    keys = simhash.band_keys(np.concatenate(hashes), np.full(2 * pairs, size))
+    assert (keys[::2] == keys[1::2]).any(1).all()
+    assert abs((keys[::2] == keys[1::2]).mean() - (common / (2 * size - common)) ** simhash.ROWS) < 0.05
+    assert not (keys[1:-1:2] == keys[2::2]).any()
 
 
-@pytest.mark.parametrize("hot", [4096, 3])
-def test_clean_equals_brute_force_jaccard(spark, hot):
+@pytest.mark.parametrize(("hot_key", "hot_sets"), [(1 << 15, 1 << 20), (3, 300)])
+def test_clean_equals_brute_force_jaccard(spark, hot_key, hot_sets):
     rng = random.Random(9)
     docs = [(900, "one two"), (901, "One  two"), (902, None), (903, " "), (904, "a b c d e f g h"), (905, "a b c d e f g h i"), (906, "a b c d e f g")]
     for d in range(40):
@@ -269,5 +294,15 @@ def test_clean_equals_brute_force_jaccard(spark, hot):
             if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 root = [root[j] if r == root[i] else r for r in root]
     expected = {min(docs[i][0] for i in range(len(docs)) if root[i] == r) for r in root}
-    kept = simhash.clean(spark.createDataFrame(docs, DOCS), hot_key=hot, hot_set=hot)
+    kept = simhash.clean(spark.createDataFrame(docs, DOCS), hot_key=hot_key, hot_sets=hot_sets)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(expected)
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    one, other = " ".join(f"a{k}" for k in range(80)), " ".join(f"b{k}" for k in range(80))
+    docs = [(1, one), (1, other), (1, other + " more"), (2, one + " more"), (2, one + " more"), (3, other), (4, "c " * 70), (4, "c " * 70), (None, one), (None, None)]
+    kept = simhash.clean(spark.createDataFrame(docs, DOCS).selectExpr("*", "1 AS content", "2 AS gone_doc"))
+    assert kept.columns == ["doc_id", "text", "content", "gone_doc"]
+    rows = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(rows) == 5 and {(1, one), (4, "c " * 70), (None, one), (None, None)} < set(rows) and {(1, other), (1, other + " more")} & set(rows)
+    assert simhash.clean(spark.createDataFrame([], DOCS)).count() == 0
