@@ -29,8 +29,9 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: s
 def shared_root(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Where it is unset (local tests) a folder of our own is made and set, so that
-    checkpoint() and written intermediate tables go to the same place.
+    Where it is unset, a local session gets a folder of its own, so that checkpoint()
+    and written intermediate tables go to the same place; on a cluster, where no
+    folder of one machine will do, that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     jsc = spark.sparkContext._jsc.sc()
@@ -38,6 +39,8 @@ def shared_root(spark: SparkSession) -> str:
         known = jsc.getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="reelspark-")
     if not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
@@ -55,6 +58,15 @@ def cut(df):
     return df.checkpoint(eager=True)
 
 
+def spread(df):
+    """df dealt to all cores if it is a plain scan with fewer partitions than there are (one file of one row group, say); else df itself."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    run = df._jdf.queryExecution()
+    if "Exchange" in run.executedPlan().toString() or run.toRdd().getNumPartitions() * 2 > cores:
+        return df
+    return df.repartition(cores)
+
+
 _shipped: set[str] = set()
 
 
