@@ -46,14 +46,20 @@ def asof(probes: DataFrame, points: DataFrame, by: list[str], order: str, carry:
 def interval(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: str, end: str, pick: list[str], cell: int) -> DataFrame:
     """Each point with pick's values of the first span (by start, then pick) with start <= at < end, nulls if there is none.
 
-    Time is cut into cells: a span goes to each cell it meets, a point to its
-    own, and they meet by equality, so no side is compared with all of the other.
+    Time is cut into cells of cell * 2 ** level, and a span goes to the least level
+    whose cells are as long as it, so to two cells at most. A point goes to its cell
+    of each level that spans have, 63 at most, and they meet by equality: no side is
+    compared with all of the other, and a long span costs no more than a short one.
     """
-    down = lambda c: F.floor(c / F.lit(cell)).cast("long")
-    cells = spans.where(F.col(end) > F.col(start)).select(*by, start, end, *pick, F.explode(F.sequence(down(F.col(start)), down(F.col(end) - 1))).alias("_cell"))
-    right = cells.select(*(F.col(c).alias(f"_{c}") for c in [*by, start, end, *pick]), "_cell")
-    left = points.withColumn("_own", down(F.col(at)))
-    same = F.col("_own") == F.col("_cell")
+    down = lambda c, level: F.floor(c / (F.lit(cell) * F.pow(F.lit(2.0), level))).cast("long")
+    length = F.col(end) - F.col(start)
+    level = F.greatest(F.lit(0), F.ceil(F.log2(length / F.lit(cell))).cast("int"))
+    real = spans.where(length > 0).withColumn("_level", level)
+    cells = real.withColumn("_cell", F.explode(F.sequence(down(F.col(start), F.col("_level")), down(F.col(end) - 1, F.col("_level")))))
+    right = cells.select(*(F.col(c).alias(f"_{c}") for c in dict.fromkeys([*by, start, end, *pick])), "_cell", "_level")
+    levels = real.agg(F.collect_set("_level").alias("_levels"))  # one row
+    left = points.crossJoin(F.broadcast(levels)).withColumn("_own_level", F.explode_outer("_levels")).drop("_levels").withColumn("_own", down(F.col(at), F.col("_own_level")))
+    same = (F.col("_own") == F.col("_cell")) & (F.col("_own_level") == F.col("_level"))
     for c in by:
         same = same & (F.col(c) == F.col(f"_{c}"))
     joined = left.join(right, same & (F.col(f"_{start}") <= F.col(at)) & (F.col(at) < F.col(f"_{end}")), "left")

@@ -40,15 +40,61 @@ def fill_forward(df: DataFrame, by: list[str], order: list, value: Column, name:
     return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
 
 
+def _by_cell(df: DataFrame, by: list[str], cell: Column) -> tuple[DataFrame, list[str]]:
+    return df.withColumn("_cell", cell), [*by, "_cell"]
+
+
+def _joined(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """df with other's further columns, by keys that may be null."""
+    renamed = other.withColumnsRenamed({k: f"_o{n}" for n, k in enumerate(keys)})
+    same = F.lit(True)
+    for n, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_o{n}"))
+    return df.join(renamed, same).drop(*(f"_o{n}" for n in range(len(keys))))
+
+
+def numbered(df: DataFrame, by: list[str], order: list, cell: Column, name: str, total: str | None = None) -> DataFrame:
+    """name: each row's place from 1 within by; total: how many rows by has.
+
+    For keys of few values, whose rows would all be sorted in one task: cell cuts
+    each key's order into pieces (it must not fall along the order), which are
+    numbered by themselves; what comes before a piece is the sum of its
+    predecessors' counts, of which there is one row each.
+    """
+    rows, keys = _by_cell(df, by, cell)
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    own = Window.partitionBy(*by)
+    before = F.sum("_n").over(own.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    counts = counts.withColumn("_before", before)
+    if total:
+        counts = counts.withColumn(total, F.sum("_n").over(own))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    placed = _joined(rows.withColumn("_inside", inside), counts.drop("_n"), keys)
+    return placed.withColumn(name, (F.col("_inside") + F.col("_before")).cast("long")).drop("_cell", "_inside", "_before")
+
+
+def previous(df: DataFrame, by: list[str], order: str, value: str, cell: Column, name: str) -> DataFrame:
+    """name: the value of the row before, null for a key's first; cut into cells as in numbered, and a cell's first row takes the last of the cell before."""
+    rows, keys = _by_cell(df, by, cell)
+    ends = rows.groupBy(*keys).agg(F.max_by(F.struct(value), order).alias("_last"))
+    ends = ends.withColumn("_edge", F.lag("_last").over(Window.partitionBy(*by).orderBy("_cell"))).drop("_last")
+    inside = F.lag(F.struct(value)).over(Window.partitionBy(*keys).orderBy(order))
+    both = _joined(rows.withColumn("_inside", inside), ends, keys)
+    return both.withColumn(name, F.coalesce("_inside", "_edge")[value]).drop("_cell", "_inside", "_edge")
+
+
 def smoothed(df: DataFrame, by: list[str], order: list[str], value: str, weight: float = 0.25) -> DataFrame:
     """by, n, ema: weight * x + (1 - weight) * before over a key's positive values in order; the first one seeds.
 
-    The state is sequential, so a key's (order, value) pairs are gathered; the
-    windows of the other operators spill, this array must fit a task.
+    Written out, the k-th value from the end counts weight * (1 - weight) ** k, the
+    seed (1 - weight) ** k: a sum over a sorted window, which spills, and no array.
     """
-    seen = F.sort_array(F.collect_list(F.when(F.col(value) > 0, F.struct(*order, F.col(value).alias("x")))))
-    step = lambda acc, s: F.when(acc.isNull(), s["x"]).otherwise(weight * s["x"] + (1 - weight) * acc)
-    return df.groupBy(*by).agg(seen.alias("_seen")).select(*by, F.size("_seen").cast("long").alias("n"), F.aggregate("_seen", F.lit(None).cast("double"), step).alias("ema"))
+    valid = F.coalesce(F.col(value) > 0, F.lit(False))
+    newest = Window.partitionBy(*by).orderBy(F.col("_valid").desc(), *(F.col(c).desc() for c in order))
+    rows = df.withColumn("_valid", valid)
+    rows = rows.withColumn("_k", F.row_number().over(newest) - 1).withColumn("_seed", ~F.coalesce(F.lead("_valid").over(newest), F.lit(False)))
+    share = F.pow(F.lit(1 - weight), F.col("_k")) * F.when(F.col("_seed"), 1.0).otherwise(weight)
+    return rows.groupBy(*by).agg(F.count(F.when(F.col("_valid"), 1)).alias("n"), F.sum(F.when(F.col("_valid"), share * F.col(value))).alias("ema"))
 
 
 def until_misses(df: DataFrame, by: list[str], order: list, found: Column, limit: int) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reelspark.functions.numbers import div
+from reelspark.operators import windows
 from reelspark.plans.registry import query
 
 _BLOCK = "[round(v::DOUBLE * 127)::BIGINT + 128 FOR v IN embedding]"
@@ -16,6 +16,10 @@ def _blocks(t):
     return t.embeddings.select("vec_id", F.col("label").cast("long").alias("label"), block.alias("b"))
 
 
+def _with_previous(t):
+    return windows.previous(_blocks(t), ["label"], "vec_id", "b", F.expr("vec_id div 1048576"), "p")
+
+
 def _sum(array, start=0):
     return F.aggregate(array, F.lit(start).cast("long"), lambda a, x: a + x)
 
@@ -33,7 +37,7 @@ WITH x AS (SELECT vec_id, label, {_BLOCK} AS b FROM embeddings), y AS (SELECT *,
 SELECT vec_id, list_sum([abs(b[i] - p[i]) FOR i IN range(1, 65)])::BIGINT AS sad, ((list_sum([(b[i] - p[i]) * (b[i] - p[i]) FOR i IN range(1, 65)]) + 4)::BIGINT >> 3) AS ssd, list_max([abs(b[i] - p[i]) FOR i IN range(1, 65)])::BIGINT AS most FROM y WHERE p IS NOT NULL""")
 def block_sad(t):
     """Distances of each block to its predecessor."""
-    rows = _blocks(t).withColumn("p", F.lag("b").over(Window.partitionBy("label").orderBy("vec_id"))).where("p IS NOT NULL")
+    rows = _with_previous(t).where("p IS NOT NULL")
     most = F.array_max(F.zip_with("b", "p", lambda x, y: F.abs(x - y)))
     return rows.select("vec_id", sad("b", "p").alias("sad"), F.shiftright(ssd("b", "p") + 4, 3).alias("ssd"), most.alias("most"))
 
@@ -55,7 +59,7 @@ WITH x AS (SELECT vec_id, label, {_BLOCK} AS b FROM embeddings), y AS (SELECT *,
 SELECT vec_id, arg_min(mode, (cost, mode))::BIGINT AS mode, min(cost)::BIGINT AS cost FROM c WHERE cost IS NOT NULL GROUP BY 1""")
 def argmin_cost(t):
     """The cheapest mode: distortion and rate; the first of equals."""
-    rows = _blocks(t).withColumn("p", F.lag("b").over(Window.partitionBy("label").orderBy("vec_id")))
+    rows = _with_previous(t)
     flat = F.aggregate("b", F.lit(0).cast("long"), lambda a, v: a + (v - 128) * (v - 128))
     costs = (F.when(F.col("p").isNotNull(), ssd("b", "p")), flat + 14, F.lit(7 * 64 + 90000).cast("long"))
     tried = F.filter(F.array(*(F.struct(c.alias("cost"), F.lit(k).cast("long").alias("mode")) for k, c in enumerate(costs))), lambda s: s["cost"].isNotNull())
@@ -85,17 +89,16 @@ SELECT rule, bad::BIGINT AS bad FROM (
   UNION ALL SELECT 'repeated line', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) UNION ALL SELECT 'line without order', count(*) FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)
   UNION ALL SELECT 'order without line', count(*) FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE o_orderkey = l_orderkey))""")
 def audit_constraints(t):
-    """How many rows break each constraint of a strict audit."""
-    lines, orders = t.lineitem, t.orders
-    count = lambda rule, df: df.agg(F.count("*").alias("bad")).select(F.lit(rule).alias("rule"), "bad")
-    checks = [
-        count("quantity out of range", lines.where(~F.col("l_quantity").between(1, 50))),
-        count("discount above half", lines.where("l_discount > 0.5")),
-        count("repeated line", lines.groupBy("l_orderkey", "l_linenumber").count().where("count > 1")),
-        count("line without order", lines.join(orders, lines.l_orderkey == orders.o_orderkey, "left_anti")),
-        count("order without line", orders.join(lines, lines.l_orderkey == orders.o_orderkey, "left_anti")),
-    ]
-    out = checks[0]
-    for check in checks[1:]:
-        out = out.unionByName(check)
-    return out
+    """How many rows break each constraint of a strict audit; both tables are read once and dealt by order."""
+    one = lambda c: F.sum(c.cast("long"))
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", (~F.col("l_quantity").between(1, 50)).alias("quantity"), (F.col("l_discount") > 0.5).alias("discount")).repartition("l_orderkey")
+    each = lines.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), one(F.col("quantity")).alias("quantity"), one(F.col("discount")).alias("discount"))
+    by_order = each.groupBy("l_orderkey").agg(F.sum("n").alias("n"), F.sum("quantity").alias("quantity"), F.sum("discount").alias("discount"), one(F.col("n") > 1).alias("repeated"))
+    orders = t.orders.groupBy("o_orderkey").agg(F.count("*").alias("orders"))
+    both = by_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "full_outer")
+    bad = {
+        "quantity out of range": "quantity", "discount above half": "discount", "repeated line": "repeated",
+        "line without order": F.when(F.col("orders").isNull(), F.col("n")), "order without line": F.when(F.col("n").isNull(), F.col("orders")),
+    }
+    sums = both.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"_{k}") for k, c in enumerate(bad.values())))
+    return sums.select(F.explode(F.array(*(F.struct(F.lit(rule).alias("rule"), F.col(f"_{k}").alias("bad")) for k, rule in enumerate(bad)))).alias("s")).select("s.*")

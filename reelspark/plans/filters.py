@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from reelspark.operators import windows
 from reelspark.plans.registry import query
 
 
@@ -81,7 +81,7 @@ def library_filter_sort(t):
     """Titles of the chosen states, the last played first."""
     x = t.events.groupBy("user_id").agg(F.count("*").alias("frames"), F.max("event_id").alias("last"), F.max((F.col("event_type") == "purchase").cast("int")).alias("done"))
     y = x.withColumn("state", F.when(F.col("done") == 0, "unwatched").when(F.col("frames") < 70, "in progress").otherwise("watched")).where("state <> 'unwatched'")
-    return y.select("user_id", "state", F.row_number().over(Window.partitionBy("state").orderBy(F.desc("last"))).cast("long").alias("place"))
+    return windows.numbered(y, ["state"], [F.desc("last")], -F.expr("last div 1048576"), "place").select("user_id", "state", "place")
 
 
 _LINE = """CASE event_id % 5 WHEN 0 THEN concat('[video] ', cast(event_id AS {s}), ' frames (', cast(event_id % 90 AS {s}), '.5 fps)') WHEN 1 THEN concat('[audio] ', cast(event_id AS {s}))
@@ -106,6 +106,6 @@ WITH x AS (SELECT label, vec_id, embedding[1:7] AS v, lag(embedding[1:7]) OVER (
 SELECT vec_id, list_bool_and([abs(v[i]::DOUBLE - u[i]::DOUBLE) <= 0.15 FOR i IN range(1, 8)]) AS similar FROM x WHERE u IS NOT NULL""")
 def near_duplicate(t):
     """Whether a recipe's seven numbers are each within a tolerance of its predecessor's."""
-    x = t.embeddings.select("label", "vec_id", F.slice("embedding", 1, 7).alias("v")).withColumn("u", F.lag("v").over(Window.partitionBy("label").orderBy("vec_id")))
+    x = windows.previous(t.embeddings.select("label", "vec_id", F.slice("embedding", 1, 7).alias("v")), ["label"], "vec_id", "v", F.expr("vec_id div 1048576"), "u")
     near = F.forall(F.zip_with("v", "u", lambda a, b: F.abs(a.cast("double") - b.cast("double")) <= 0.15), lambda ok: ok)
     return x.where("u IS NOT NULL").select("vec_id", near.alias("similar"))

@@ -9,6 +9,7 @@ from reelspark.operators import windows
 from reelspark.plans.registry import query
 
 _US = "epoch_us(ts)"
+CELL = 1 << 20  # ids to a cell, where rows of few keys are numbered
 
 
 def _at(t):
@@ -54,10 +55,11 @@ WITH x AS (SELECT p_brand, p_partkey, 70.0::DOUBLE * p_size / max(p_size) OVER (
 SELECT p_brand, p_partkey, round(score, 6) AS score, row_number() OVER (PARTITION BY p_brand ORDER BY round(score, 6) DESC, p_size DESC, p_partkey) AS place FROM x""")
 def rank_scored(t):
     """Titles by score, then duration, then position; places are unique."""
-    brand = Window.partitionBy("p_brand")
-    score = F.lit(70.0) * F.col("p_size") / F.max("p_size").over(brand) + 0.7 * F.least(F.col("p_partkey") % 50, F.lit(30)) + F.when(F.col("p_type") == "ECONOMY", 3).otherwise(0) + F.when(F.col("p_name").contains("ring"), 3).otherwise(0)
-    rows = t.part.withColumn("score", F.round(score, 6))
-    return rows.select("p_brand", "p_partkey", "score", F.row_number().over(brand.orderBy(F.desc("score"), F.desc("p_size"), "p_partkey")).cast("long").alias("place"))
+    most = t.part.groupBy("p_brand").agg(F.max("p_size").alias("most"))
+    score = F.lit(70.0) * F.col("p_size") / F.col("most") + 0.7 * F.least(F.col("p_partkey") % 50, F.lit(30)) + F.when(F.col("p_type") == "ECONOMY", 3).otherwise(0) + F.when(F.col("p_name").contains("ring"), 3).otherwise(0)
+    rows = t.part.join(most, "p_brand").select("p_brand", "p_partkey", "p_size", F.round(score, 6).alias("score"))
+    cell = -F.floor(F.col("score") * 1000)  # scores of three decimals to a cell
+    return windows.numbered(rows, ["p_brand"], [F.desc("score"), F.desc("p_size"), "p_partkey"], cell, "place").select("p_brand", "p_partkey", "score", "place")
 
 
 @query(f"""
@@ -82,8 +84,8 @@ def ema_smoothing(t):
 @query("SELECT doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 12 = 0 AS keyframe FROM documents")
 def keyframe_cadence(t):
     """The first frame of each segment and every twelfth after it."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return t.documents.select("doc_id", (F.pmod(F.row_number().over(w) - 1, F.lit(12)) == 0).alias("keyframe"))
+    rows = windows.numbered(t.documents.select("source", "doc_id"), ["source"], ["doc_id"], F.expr(f"doc_id div {CELL}"), "place")
+    return rows.select("doc_id", (F.pmod(F.col("place") - 1, F.lit(12)) == 0).alias("keyframe"))
 
 
 @query(f"SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY {_US}, event_id) - 1 AS place FROM events")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reelspark.functions import numbers as N
 from reelspark.functions import strings as S
+from reelspark.operators import windows
 from reelspark.plans.registry import query
 
 
@@ -85,8 +85,8 @@ def natural_sort(t):
     """Names in the order in which numbers in them count as numbers."""
     k = F.col("s_suppkey")
     rows = t.supplier.select("s_suppkey", "s_nationkey", F.concat(F.lit("Reel "), (k * 37 % 1000).cast("string"), F.lit(" part "), k.cast("string")).alias("name"))
-    w = Window.partitionBy("s_nationkey").orderBy(S.natural_key(F.col("name")))
-    return rows.select("s_suppkey", "name", F.row_number().over(w).cast("long").alias("place"))
+    first = F.regexp_extract("name", r"(\d+)", 1).cast("long")  # names are equal up to their first number
+    return windows.numbered(rows, ["s_nationkey"], [S.natural_key(F.col("name"))], first, "place").select("s_suppkey", "name", "place")
 
 
 @query("SELECT doc_id, sha256(text) AS digest FROM documents")
@@ -94,9 +94,11 @@ def sha256_hash(t):
     return t.documents.select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-@query()
+@query("""
+WITH t AS (SELECT list(v ORDER BY n) AS tab FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda a, i: xor(a >> 1, 3988292384 * (a & 1))) AS v FROM range(256) r(n))),
+     d AS (SELECT doc_id, string_split(regexp_replace(hex(encode(text)), '(..)', '\\1 ', 'g'), ' ') AS h FROM documents)
+SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, [('0x' || x)::BIGINT FOR x IN h IF x <> '']), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) AS crc FROM d, t""")
 def crc32_hash(t):
-    """The other engine has no CRC32; see the tests."""
     return t.documents.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reelspark.functions import numbers as N
+from reelspark.operators import windows
 from reelspark.plans.registry import query
 
 
@@ -61,8 +61,7 @@ WITH q AS (SELECT c_nationkey AS queue, c_custkey, row_number() OVER (PARTITION
 SELECT c_custkey, CASE WHEN n < 4 THEN pos WHEN pos = 3 THEN 4 WHEN pos = 4 THEN 3 ELSE pos END AS pos FROM q""")
 def move_job(t):
     """The third job of each queue moves one down; nothing moves at a queue's end."""
-    own = Window.partitionBy("c_nationkey")
-    q = t.customer.select("c_nationkey", "c_custkey", F.row_number().over(own.orderBy("c_custkey")).cast("long").alias("pos"), F.count("*").over(own).alias("n"))
+    q = windows.numbered(t.customer.select("c_nationkey", "c_custkey"), ["c_nationkey"], ["c_custkey"], F.expr("c_custkey div 1048576"), "pos", "n")
     moved = F.when(F.col("n") < 4, F.col("pos")).when(F.col("pos") == 3, 4).when(F.col("pos") == 4, 3).otherwise(F.col("pos"))
     return q.select("c_custkey", moved.alias("pos"))
 

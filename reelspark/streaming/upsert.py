@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 class LatestTable:
-    """Versions under a folder, one for each batch number; a batch that comes again finds its version there."""
+    """Folders of rows by batch number: each batch writes its own keys only, every EVERY-th one the table up to there.
+
+    A batch that is run again replaces its folder, so the table stays the same. A
+    reader takes the newest whole table and the batches behind it.
+    """
+
+    EVERY = 32
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str]):
         self.spark, self.path, self.keys, self.order = spark, path, keys, order
 
-    def version(self, n: int) -> str:
-        return f"{self.path}/version={n:012d}"
+    def folder(self, n: int) -> str:
+        return f"{self.path}/{n:012d}"
 
-    def read(self, n: int) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(self.version(n))
-        except AnalysisException as error:
-            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            return None
+    def read(self, n: int) -> DataFrame:
+        """The table after batch n."""
+        return self.latest(self.spark.read.parquet(*(self.folder(k) for k in range(n - n % self.EVERY, n + 1))))
 
     def latest(self, rows: DataFrame) -> DataFrame:
         rest = [c for c in rows.columns if c not in self.keys and c not in self.order]
@@ -31,6 +32,5 @@ class LatestTable:
 
     def apply(self, batch: DataFrame, n: int) -> None:
         """For foreachBatch."""
-        if self.read(n) is None:
-            known = self.read(n - 1) if n else None
-            self.latest(batch if known is None else known.unionByName(batch)).write.parquet(self.version(n))
+        rows = batch.unionByName(self.read(n - 1)) if n and n % self.EVERY == 0 else batch
+        self.latest(rows).write.mode("overwrite").parquet(self.folder(n))

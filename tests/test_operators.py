@@ -109,3 +109,43 @@ def test_event_windows_in_batch(spark):
     assert event_windows.counted(events, "1 day").agg(F.sum("n")).first()[0] == 1000
     assert event_windows.sessions(events, "2 hours").agg(F.sum("n")).first()[0] == 1000
     assert event_windows.counted(events, "2 days", "1 day").agg(F.sum("n")).first()[0] == 2000
+
+
+def test_numbers_and_predecessors_across_cells(spark):
+    from pyspark.sql import Window
+
+    df = spark.range(300).selectExpr("CASE WHEN id % 3 > 0 THEN id % 3 END AS k", "id * 7 % 300 AS at", "CASE WHEN id % 5 > 0 THEN id END AS v")
+    w = Window.partitionBy("k").orderBy("at")
+    cell = F.expr("at div 16")
+    expected = df.select("k", "at", F.row_number().over(w).cast("long").alias("place"), F.count("*").over(Window.partitionBy("k")).alias("n"))
+    assert rows(windows.numbered(df, ["k"], ["at"], cell, "place", "n").select("k", "at", "place", "n")) == rows(expected)
+    assert rows(windows.previous(df, ["k"], "at", "v", cell, "u").select("k", "at", "u")) == rows(df.select("k", "at", F.lag("v").over(w).alias("u")))
+
+
+def test_smoothing_equals_the_recursion(spark):
+    values = [(k, at, float((at * 37 + k) % 11 - 3) if at % 7 else None) for k in range(4) for at in range(k * 300)]
+    df = spark.createDataFrame([*values, (9, 1, -1.0)], "k long, at long, x double")
+    got = {r.k: (r.n, r.ema) for r in windows.smoothed(df, ["k"], ["at"], "x").collect()}
+    for k in range(1, 4):
+        ema, n = None, 0
+        for _, _, x in sorted(v for v in values if v[0] == k and (v[2] or 0) > 0):
+            ema, n = x if ema is None else 0.25 * x + 0.75 * ema, n + 1
+        assert got[k][0] == n and abs(got[k][1] - ema) < 1e-9
+    assert got[9] == (0, None)
+
+
+def test_intervals_of_all_lengths(spark):
+    points = [(k % 2, k * 13 % 4000 - 200) for k in range(400)]
+    spans = [(k % 2, k * 97 % 3000 - 100, k * 97 % 3000 - 100 + 3**(k % 8), f"s{k}") for k in range(60)] + [(0, 5, 5, "empty"), (1, -200, 4000, "all")]
+    got = joins.interval(spark.createDataFrame(points, "k long, at long"), spark.createDataFrame(spans, "k long, start long, stop long, name string"), ["k"], "at", "start", "stop", ["name"], 8)
+    expected = [(k, at, min(((s, n) for g, s, e, n in spans if g == k and s <= at < e), default=(None, None))[1]) for k, at in points]
+    assert rows(got.select("k", "at", "span_name")) == sorted(set(expected), key=str)
+
+
+def test_upserts_begin_whole_tables_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(upsert.LatestTable, "EVERY", 3)
+    table = upsert.LatestTable(spark, str(tmp_path / "t"), ["k"], ["at"])
+    for n in range(8):
+        table.apply(spark.createDataFrame([(n % 4, n), (9, n)], "k long, at long"), n)
+    assert rows(table.read(7)) == [(0, 4), (1, 5), (2, 6), (3, 7), (9, 7)]
+    assert spark.read.parquet(table.folder(6)).count() == 5 and spark.read.parquet(table.folder(7)).count() == 2
