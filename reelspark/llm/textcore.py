@@ -10,27 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _U = np.uint64
-WORD_BASE, SEQ_BASE = _U(0x9E3779B97F4A7C15 | 1), _U(0xD6E8FEB86659FD93)
-SLICE_BYTES = 2 << 20
-
-
-def inverse_odd(a: np.uint64) -> np.uint64:
-    """The inverse of an odd number modulo 2^64, by Newton's iteration."""
-    a, x = int(a), 1
-    for _ in range(6):
-        x = x * (2 - a * x) % (1 << 64)
-    return _U(x)
-
-
-SEQ_INVERSE = inverse_odd(SEQ_BASE)
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(max(n, 1), base, dtype=_U)
-    out[0] = 1
-    return np.cumprod(out, dtype=_U)
+LEFT, RIGHT, SEEDS = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), (_U(0x243F6A8885A308D3), _U(0x13198A2E03707344))
+SLICE_BYTES, LONG_WORD = 2 << 20, 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -81,28 +65,42 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes: eight at a time, mixed; XXH64 from LONG_WORD bytes on. Seeds 0 and 1 are independent."""
     if not len(starts):
         return np.zeros(0, _U)
     lengths = ends - starts
-    total = int(lengths.sum())
-    first = np.cumsum(lengths) - lengths
-    inside = np.arange(total) - np.repeat(first, lengths)
-    table = powers(WORD_BASE, int(lengths.max()))
-    terms = (data[inside + np.repeat(starts, lengths)].astype(_U) + _U(1)) * table[inside]
-    return mix(np.add.reduceat(terms, first) + lengths.astype(_U))
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    out = mix(lengths.astype(_U) ^ SEEDS[seed])
+    rows = np.flatnonzero(lengths < LONG_WORD)
+    for at in range(0, LONG_WORD, 8):
+        rows = rows[lengths[rows] > at] if at else rows
+        if not len(rows):
+            break
+        left = np.minimum(lengths[rows] - at, 8)
+        some = eight[starts[rows] + at] & (_U(0xFFFFFFFFFFFFFFFF) >> (64 - 8 * left).astype(_U))
+        out[rows] = mix(out[rows] * LEFT + some)
+    raw, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh64_intdigest
+    for k in np.flatnonzero(lengths >= LONG_WORD).tolist():
+        out[k] = digest(raw[starts[k] : ends[k]], seed)
+    return out
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """Hash of words[i : i + width] for every i; windows may cross texts, callers mask those."""
-    n = len(words) - width + 1
-    if n <= 0:
+    """Hash of words[i : i + width] for every i, made of hashes of runs of 1, 2, 4 ... words; windows may cross texts, callers mask those."""
+    if len(words) < width:
         return np.zeros(0, _U)
-    up = powers(SEQ_BASE, len(words))
-    total = np.zeros(len(words) + 1, _U)
-    np.cumsum(words * up, out=total[1:])
-    return mix((total[width:] - total[:-width]) * powers(SEQ_INVERSE, n))
+    total, done, run, size = None, 0, words, 1
+    while True:
+        if width & size:
+            n = len(words) - done - size + 1
+            total = run if total is None else mix(total[:n] * LEFT + (run[done : done + n] ^ RIGHT))
+            done += size
+        if done == width:
+            return mix(total ^ RIGHT)
+        run = mix(run[:-size] * LEFT + (run[size:] ^ RIGHT))
+        size *= 2
 
 
 def window_rows(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
