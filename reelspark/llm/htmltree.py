@@ -1,29 +1,37 @@
 """Main text of web pages by site style trees.
 
-Each page is read into a tree of elements. The trees of a host are merged by
-style path (the tags and classes from the root). Importance of a merged node is
-measured as entropies over the host's pages:
+Each page is read into a tree of elements. The trees of a host's distinct pages
+are merged by style path (the tags and classes from the root). Importance of a
+merged node is measured as entropies over those pages:
 
 * presentation: how evenly pages differ in the node's sequence of children,
 * content: one less the mean entropy of its texts; a text that many pages share
   is worth little, one that a single page has is worth most.
 
-Branches of low importance go from every page. What the markup itself declares
-(navigation, forms, scripts, adverts, notices, comments ...) goes on any host,
-also where there are too few pages for entropies; and an article, where the
-markup declares one, is what is kept, less such branches and branches of low
-importance inside it.
+Branches of low importance go from every page, and so do single texts that
+SHARED of a host's distinct pages have in the same place, inside articles as well.
+What the markup itself declares (navigation, forms, scripts, adverts, notices,
+comments ...) goes on any host, also where there are too few pages for entropies.
+An article, where the markup declares one, is what is kept of the rest; but where
+text outside is OUTSIDE times as long, and at least OUTSIDE_LEAST characters, the
+article is taken for a teaser and text outside stays too.
+
+A class or id declares noise if one of its names is a word for it (`sidebar`), or
+is made of such words and neutral ones (`site-footer`), not if other words are in
+it (`has-sidebar`, `share-price`).
 
 Merging ships hashes and counts, not texts: counts are added up in each batch,
 again before the exchange, and once more behind it, so a host with a third of
 all pages is spread by its nodes and texts. The hosts' lists of unimportant nodes
 are checkpointed and measured: up to BROADCAST_BYTES they go to every task and no
 page moves; beyond that pages meet them in a join that adaptive execution splits.
+The same goes for the list of pages that are copies on their host.
 
 Defined cases: null html is an empty page; a page without text gives the empty
 string; unclosed elements end with their parents and a page cut off in a tag ends
-there; urls without a host (or null) count as one host; repeated rows count as
-pages each; an empty table gives no rows; other columns are ignored.
+there; urls without a host (or null) count as one host; repeated rows and copies
+count as one page of the tree and have a result each; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +50,8 @@ from reelspark.llm.textcore import slices
 from reelspark.session import cut
 
 #: A node on fewer pages than MIN_PAGES is not judged; PRESENTATION is that entropy's weight beside content's.
-MIN_PAGES, THRESHOLD, PRESENTATION = 8, 0.35, 0.1
+MIN_PAGES, THRESHOLD, PRESENTATION, SHARED = 8, 0.35, 0.1, 0.8
+OUTSIDE, OUTSIDE_LEAST = 4, 600
 BROADCAST_BYTES = 16 << 20
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -66,6 +75,11 @@ NOISE_WORDS = set(
     "subscribe subscription signup login sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentlist "
     "reply replies respond disqus share sharing social related recommended popup modal overlay search widget widgets toolbar pagination pager skip".split()
 )
+#: Words that may stand beside a noise word in one name, and beside "header" where that is the site's.
+SITE_WORDS = set("site page global top bottom main primary secondary wrapper wrap container inner outer bar mobile".split())
+NEUTRAL_WORDS = SITE_WORDS | set("left right list item items box block area section panel link links button buttons icon icons post posts article articles story stories col column group form body text title to".split())
+#: What an article of its own may be declared as.
+NOISE_ARTICLES = set("ad ads advert advertisement sponsored promo comment reply".split())
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
 MAIN = {"article", "main"}
 
@@ -86,8 +100,18 @@ def _declared_noise(tag: str, attributes: dict[str, str], in_main: bool) -> bool
         return tag not in ("html", "body")
     if tag in ("html", "body", "main"):
         return False
-    words = re.split(r"[\s_-]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
-    return any(w in NOISE_WORDS or w == "header" and not in_main for w in words)
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
+    if tag in MAIN:
+        return any(n in NOISE_ARTICLES for n in names)
+    return any(_noise_name(n, in_main) for n in names)
+
+
+def _noise_name(name: str, in_main: bool) -> bool:
+    words = set(re.split(r"[_-]+", name)) - {""}
+    noise = words & NOISE_WORDS
+    if "header" in words and not in_main:
+        return words - {"header"} - noise <= SITE_WORDS
+    return bool(noise) and words - noise <= NEUTRAL_WORDS
 
 
 class Node:
@@ -190,21 +214,29 @@ class Page:
         self._end_block()
 
 
-def extract(page: Page, unimportant: frozenset[int] = frozenset()) -> str:
-    """The blocks that are kept, a line each."""
-    kept = [b for b in page.blocks if b[1] or not page.has_main]
-    if unimportant:
-        few = [b for b in kept if not unimportant.intersection(b[2])]
-        kept = few or kept
+def extract(page: Page, low: frozenset[int] = frozenset()) -> str:
+    """The blocks that are kept, a line each; low has unimportant nodes, and texts as _text_key tells them."""
+    kept = page.blocks
+    if low:
+        kept = [b for b in kept if not low.intersection(b[2]) and _text_key(b[2][-1], b[0]) not in low]
+    if page.has_main:
+        inside = [b for b in kept if b[1]]
+        own, all_ = (sum(len(text) for text, _, _ in some) for some in (inside, kept))
+        if all_ - own < max(OUTSIDE * own, OUTSIDE_LEAST):
+            kept = inside
     return "\n".join(text for text, _, _ in kept)
 
 
+def _text_key(node: int, text: str) -> int:
+    return node ^ xxhash.xxh64_intdigest(text)
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """host, node, pages, importance: the merged trees of all hosts."""
+def features(pages: DataFrame) -> DataFrame:
+    """host, node, kind, value, n: how many of pages(host, html) have a node with a sequence of children (kind s) or a text (kind t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -225,8 +257,12 @@ def style_tree(pages: DataFrame) -> DataFrame:
                 kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "node", "kind", "value", "n"])
 
-    seen = pages.mapInArrow(run, "host string, node long, kind string, value long, n long")
-    values = seen.groupBy("host", "node", "kind", "value").agg(F.sum("n").alias("n"))
+    seen = pages.select("host", "html").mapInArrow(run, "host string, node long, kind string, value long, n long")
+    return seen.groupBy("host", "node", "kind", "value").agg(F.sum("n").alias("n"))
+
+
+def style_tree(values: DataFrame) -> DataFrame:
+    """host, node, pages, importance, has_text: the merged trees of all hosts, from features."""
     # p log p needs the node's pages, which sum(n) of kind s gives only below: keep sum(n), sum(n ln n) and sum(ln n)
     n = F.col("n").cast("double")
     parts = values.groupBy("host", "node", "kind").agg(F.sum("n").alias("n"), F.sum(n * F.log(n)).alias("n_log"), F.sum(F.log(n)).alias("log"), F.count("*").alias("values"))
@@ -239,13 +275,32 @@ def style_tree(pages: DataFrame) -> DataFrame:
     return node.where("pages IS NOT NULL").select("host", "node", "pages", importance.alias("importance"), F.col("texts").isNotNull().alias("has_text"))
 
 
-def main_text(pages: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
+def distinct_pages(rows: DataFrame) -> DataFrame:
+    """rows(page_id, host, html, ...) without those that copy another page of their host (of equal page_ids all stay)."""
+    digest = F.xxhash64("html")
+    groups = rows.groupBy("host", digest.alias("digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("rows")).where("rows > 1 AND first IS NOT NULL")
+    copies = cut(groups.select(F.col("host").alias("copy_host"), "digest", "first"))
+    size = copies.agg(F.sum(F.octet_length("copy_host") + 48)).first()[0] or 0
+    copies = F.broadcast(copies) if size <= BROADCAST_BYTES else copies
+    return rows.join(copies, (rows.host == F.col("copy_host")) & (digest == F.col("digest")) & ~rows.page_id.eqNullSafe(F.col("first")), "left_anti")
+
+
+def unimportant(values: DataFrame, threshold: float, min_pages: int, shared: float) -> DataFrame:
+    """low_host, low: each host's unimportant nodes and texts."""
+    tree = style_tree(values).where(F.col("pages") >= min_pages)
+    nodes = tree.where(F.col("has_text") & (F.col("importance") <= threshold)).select("host", F.col("node").alias("low"))
+    texts = values.where((F.col("kind") == "t") & (F.col("n") >= shared * min_pages)).join(tree.select("host", "node", "pages"), ["host", "node"])
+    # no more than 1 / shared texts for each text of a page
+    texts = texts.where(F.col("n") >= shared * F.col("pages")).select("host", F.col("node").bitwiseXOR(F.col("value")).alias("low"))
+    return nodes.union(texts).groupBy("host").agg(F.collect_set("low").alias("low")).withColumnRenamed("host", "low_host")
+
+
+def main_text(pages: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES, shared: float = SHARED) -> DataFrame:
     """page_id, url, text of every page."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host.alias("host"))
-    tree = style_tree(rows.select("host", "html"))
-    low = tree.where((F.col("pages") >= min_pages) & F.col("has_text") & (F.col("importance") <= threshold))
-    low = cut(low.groupBy("host").agg(F.collect_set("node").alias("low")).withColumnRenamed("host", "low_host"))
+    values = cut(features(distinct_pages(rows)))
+    low = cut(unimportant(values, threshold, min_pages, shared))
     size = low.agg(F.sum(F.size("low") * 8 + F.octet_length("low_host") + 64)).first()[0] or 0
     # within the bound every task gets the lists, and pages stay where they are; beyond it hosts meet in a join that can be split
     joined = rows.join(F.broadcast(low) if size <= BROADCAST_BYTES else low, rows.host == F.col("low_host"), "left")

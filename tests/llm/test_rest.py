@@ -44,7 +44,7 @@ def test_style_tree_drops_what_pages_share(spark, monkeypatch):
     monkeypatch.setattr(htmltree, "BROADCAST_BYTES", 0)
     assert {r.page_id: r.text for r in htmltree.main_text(df).collect()} == got
     assert htmltree.main_text(df).count() == len(pages) and htmltree.main_text(df.limit(0)).count() == 0
-    tree = {r.importance for r in htmltree.style_tree(df.selectExpr("'h' AS host", "html")).collect()}
+    tree = {r.importance for r in htmltree.style_tree(htmltree.features(df.selectExpr("'h' AS host", "html"))).collect()}
     assert all(0 <= x <= 1 for x in tree)
 
 
@@ -179,7 +179,7 @@ def test_forest_scores_outliers_higher():
     rows = np.concatenate([rng.normal(0, 0.1, (300, 3)), rng.normal(3, 0.5, (10, 3))])
     scores = quality.IsolationForest(rows).scores(rows)
     assert scores[300:].min() > np.quantile(scores[:300], 0.95)
-    assert quality.threshold(np.array([0.1, 0.2, 0.8, 0.9]), np.array([True, True, False, False])) == pytest.approx(0.5)
+    assert quality.threshold(np.array([0.1, 0.2, 0.8, 0.9]), np.array([True, True, False, False]), np.zeros(4, bool)) == pytest.approx((0.5, 1.0))
 
 
 def test_quality_verdicts(spark):
@@ -235,3 +235,47 @@ def test_shared_boxes_inside_articles_go(spark):
     page = "<html><body><article><h1>Title {k}</h1><p>Text of its own {k}</p><div class='box'><p>Read our other stories</p></div><p>More text {k}</p></article></body></html>"
     df = spark.createDataFrame([(k, "http://h.org/x", page.format(k=k)) for k in range(12)], "page_id long, url string, html string")
     assert {r.page_id: r.text for r in htmltree.main_text(df).collect()} == {k: f"Title {k}\nText of its own {k}\nMore text {k}" for k in range(12)}
+
+
+def test_style_tree_decides_inside_articles(spark):
+    own = "<p>Text of its own {k}</p><p>Join our club today</p><p>More text {k}</p>"
+    page = f"<html><body><nav>menu</nav><article><h1>Title {{k}}</h1>{own}<div class='box'><p>Read our other stories</p></div></article><footer>f</footer></body></html>"
+    pages = [(k, f"http://h.org/{k}", page.format(k=k)) for k in range(20)]
+    pages += [(100 + k, "http://copies.org/x", page.format(k=0)) for k in range(30)]  # copies are one page, which nothing is shared with
+    pages += [(200 + k, "http://empty.org/x", f"<body><div class=x>Nothing but this</div><i>{'' if k else 'x'}</i></body>") for k in range(20)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in htmltree.main_text(df).collect()}
+    off = {r.page_id: r.text for r in htmltree.main_text(df, min_pages=10**9).collect()}
+    assert all(got[k] == f"Title {k}\nText of its own {k}\nMore text {k}" for k in range(20))
+    assert all(off[k] == f"Title {k}\nText of its own {k}\nJoin our club today\nMore text {k}\nRead our other stories" for k in range(20))
+    assert all(got[100 + k] == off[100 + k] == off[0] for k in range(30)) and all(off[200 + k].startswith("Nothing") for k in range(20))
+
+
+def test_verdict_equals_brute_force_paths():
+    rng = np.random.default_rng(4)
+    rows = np.abs(np.concatenate([rng.normal(0, 0.1, (300, 7)), rng.normal(0, 0.1, (30, 7)) + [0, 2, 0, 0, 0, 0, 0], rng.normal(0, 0.1, (30, 7)) + [0, 0, 0, 1, 0, 0, 0]]))
+    rows[:20] = rows[0]  # ties
+    good = np.arange(360) < 300
+    judge = quality.Judge(rows, good)
+    highest, kept = judge.scores(rows)
+    for i in range(360):
+        best, fine = 0.0, True
+        for view, forest, limit in judge.used:
+            total = 0.0
+            for feature, split, child, length in forest.trees:
+                node = 0
+                while child[node][0] != node:
+                    node = child[node][int(rows[i, view][feature[node]] > split[node])]
+                total += length[node]
+            score = 2 ** -(total / len(forest.trees) / forest.scale)
+            best, fine = max(best, score), fine and score <= limit + 1e-12
+        assert abs(best - highest[i]) < 1e-9 and fine == kept[i]
+    assert kept[good].mean() > 0.97 and kept[~good].mean() < 0.1 and {v[0] for v, _, _ in judge.used if len(v) == 1} >= {1, 3}
+    assert len(set(highest[:20].tolist())) == 1
+
+
+def test_lines_that_polynomials_mix_up():
+    word = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    text = f"{word}\n{word.translate(str.maketrans('ab', 'ba'))}\n"
+    stats = quality.statistics(pa.array([text, text + text]))
+    assert stats["n_dup_lines"].tolist() == [0, 2]
