@@ -30,6 +30,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -38,7 +39,7 @@ from pyspark.sql import types as T
 
 from reelspark.llm.textcore import slices
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = str(public_tokenizers.path("byte_bpe_50k.json"))
 START = -1
 CACHE_ENTRIES, CACHE_CHARS, TABLE_ENTRIES = 300_000, 48, 400_000
 

@@ -10,17 +10,20 @@ them. The checkpoints (first id, number of ids, offset and length in bytes, CRC
 of each block) let a reader begin at any block.
 
 Writing needs one pass: documents are tokenized where they are read, ids (not
-texts) are dealt to buckets of adjacent doc_ids, sorted there, and streamed into
-segments; memory is that of one segment, whatever the size of a bucket.
+texts) are dealt to buckets of adjacent doc_ids, a partition each, sorted there,
+and streamed into segments; memory is that of one segment, whatever the size of a
+bucket. Buckets are cut by percentiles of doc_id. A doc_id that fills buckets by
+itself, and null, are cut further by a hash of the ids, so no value has to fit one
+bucket. There are at most MOST_BUCKETS, which is all that the driver, a plan or the
+sums over buckets ever hold; beyond MOST_BUCKETS x ROWS_PER_BUCKET rows, buckets grow.
 
 Defined cases: a null text counts as empty and has the end id only; null doc_ids
-come first, each with a slot of its own; equal doc_ids are ordered by their ids;
-an empty table gives no file rows and no result rows.
+come first, each with a slot of its own; equal doc_ids are ordered by a hash of
+their ids, then by the ids; an empty table gives no file rows and no result rows.
 """
 
 from __future__ import annotations
 
-import bisect
 import itertools
 import os
 import re
@@ -30,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +46,7 @@ OTHER_RUNS = [c + " " for c in SPACE if not c.isascii()]
 END_ID = 2
 BLOCK, LANES, SEGMENT = 1 << 19, 4096, 1 << 21
 LOW = np.uint64(1 << 31)
-ROWS_PER_BUCKET, LEAST_BUCKETS = 4096, 64
+ROWS_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 4096, 64, 1 << 15
 
 SEGMENT_SCHEMA = (
     "bucket int, segment int, first_id long, n_ids long, doc_ids array<long>, doc_lengths array<long>, bits int, symbols binary, frequencies binary, "
@@ -239,9 +243,35 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def tokenize(docs: DataFrame, path: str = TOKENIZER, end_id: int | None = END_ID, cuts: list[int] = ()) -> DataFrame:
-    """doc_id, ids (binary), wide (ids have 4 bytes instead of 2) and bucket (how many cuts are at most doc_id), with the end id behind each document."""
-    names = ["doc_id", "ids", "wide", "bucket"]
+class Cuts:
+    """Where rows in the order of (doc_id, hash) are cut into buckets: between doc_ids, and within null and doc_ids that fill buckets."""
+
+    def __init__(self, points: list[int], null_buckets: int):
+        self.nulls = max(null_buckets, 0)
+        self.values, self.shares = np.unique(np.array(points, np.int64), return_counts=True)
+        self.first = np.cumsum(self.shares) - self.shares + self.nulls  # buckets before each value's own
+
+    @property
+    def buckets(self) -> int:
+        return int(self.nulls + self.shares.sum()) + 1
+
+    def place(self, docs: np.ndarray, null: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Buckets of rows; hashes are unsigned."""
+        share = lambda n: ((hashes >> np.uint64(32)) * n.astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        if not len(self.values):
+            return np.where(null, share(np.full(len(docs), self.nulls)), self.nulls)
+        k = np.searchsorted(self.values, docs, side="right") - 1  # the value at or before
+        at = np.maximum(k, 0)
+        own = docs == self.values[at]
+        inside = np.where(own, share(self.shares[at]), self.shares[at] - 1)
+        known = np.where(k >= 0, self.first[at] + 1 + inside, self.nulls)
+        return np.where(null, share(np.full(len(docs), self.nulls)), known)
+
+
+def tokenize(docs: DataFrame, path: str = TOKENIZER, end_id: int | None = END_ID, cuts: Cuts | None = None) -> DataFrame:
+    """doc_id, place (a hash of the ids), ids (binary), wide (ids have 4 bytes instead of 2) and bucket, with the end id behind each document."""
+    names = ["doc_id", "place", "ids", "wide", "bucket"]
+    cuts = cuts or Cuts([], 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
@@ -249,26 +279,31 @@ def tokenize(docs: DataFrame, path: str = TOKENIZER, end_id: int | None = END_ID
         for whole in batches:
             for batch in slices(whole):
                 ids = [x + end for x in tok.texts(batch.column(1))]
-                place = [0 if d is None else bisect.bisect_right(cuts, d) for d in batch.column(0).to_pylist()]
-                cols = [pa.array(ids, pa.binary()), pa.array([tok.dtype.itemsize == 4] * len(ids)), pa.array(place, pa.int32())]
+                hashes = np.array([xxhash.xxh64_intdigest(x) for x in ids], np.uint64)
+                bucket = cuts.place(batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_null().to_numpy(zero_copy_only=False), hashes)
+                place = (hashes ^ np.uint64(1 << 63)).view(np.int64)  # in the same order as a signed number
+                cols = [pa.array(place), pa.array(ids, pa.binary()), pa.array([tok.dtype.itemsize == 4] * len(ids)), pa.array(bucket.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary, wide boolean, bucket int")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, place long, ids binary, wide boolean, bucket int")
 
 
-def bounds(docs: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, least: int = LEAST_BUCKETS) -> tuple[list[int], int]:
-    """doc_ids that cut the rows into about equal buckets, and how many buckets; only the column doc_id is read."""
-    n = docs.select("doc_id").count()
-    buckets = max(least, -(-n // rows_per_bucket))
-    points = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [k / buckets for k in range(1, buckets)], 20 * buckets)).first()[0] or []
-    return sorted(set(points)), buckets
+def bounds(docs: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, least: int = LEAST_BUCKETS, most: int = MOST_BUCKETS) -> Cuts:
+    """Cuts into buckets of about equal rows, `most` of them and one for null at the most; only the column doc_id is read."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    n, known = own.agg(F.count("*"), F.count("doc_id")).first()
+    buckets = min(most, max(least, -(-n // rows_per_bucket)))
+    nulls = -(-(n - known) * buckets // max(n, 1))
+    rest = max(buckets - nulls, 1)
+    points = own.select(F.percentile_approx("doc_id", [k / rest for k in range(1, rest)], 8 * rest)).first()[0] if rest > 1 and known else None
+    return Cuts(points or [], nulls)
 
 
-def write(docs: DataFrame, path: str, tokenizer_path: str = TOKENIZER, end_id: int | None = END_ID) -> None:
-    """Writes documents(doc_id, text) as token files to path."""
-    cuts, buckets = bounds(docs)
-    rows = tokenize(docs, tokenizer_path, end_id, cuts)
-    rows = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
+def write(docs: DataFrame, path: str, tokenizer_path: str = TOKENIZER, end_id: int | None = END_ID, **cut_how) -> None:
+    """Writes documents(doc_id, text) as token files to path; cut_how as in bounds."""
+    cuts = bounds(docs, **cut_how)
+    rows = tokenize(docs, tokenizer_path, end_id, cuts).repartitionById(cuts.buckets, F.col("bucket"))
+    rows = rows.sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "place", "ids")
     rows.select("bucket", "doc_id", "ids", "wide").mapInArrow(_segments, SEGMENT_SCHEMA).write.parquet(path)
 
 
@@ -288,7 +323,7 @@ def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays + [pa.array(views, pa.binary())] * ids, names=["bucket", "doc_id", "inside", "n_tokens", "ids_crc32"] + ["ids"] * ids)
 
     docs = files.mapInArrow(run, "bucket int, doc_id long, inside long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
-    # one row for each bucket: the number of buckets follows the rows by ROWS_PER_BUCKET
+    # one row for each bucket, of which there are MOST_BUCKETS and one for null at the most
     totals = files.groupBy("bucket").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
@@ -296,9 +331,9 @@ def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * ids)
 
 
-def round_trip(docs: DataFrame, path: str | None = None, tokenizer_path: str = TOKENIZER, ids: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, path: str | None = None, tokenizer_path: str = TOKENIZER, ids: bool = False, **cut_how) -> DataFrame:
     """Writes docs to token files (a fresh shared folder unless path is given) and reads them back."""
     spark = docs.sparkSession
     path = path or shared_path(spark, "tokens")
-    write(docs, path, tokenizer_path)
+    write(docs, path, tokenizer_path, **cut_how)
     return read(spark, path, ids)

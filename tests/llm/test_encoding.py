@@ -139,6 +139,24 @@ def test_token_files(spark, library, monkeypatch):
     assert rans.round_trip(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("rows", [3, 40])
+def test_hot_ids_fill_several_buckets(spark, library, rows):
+    docs = [(None, f"null {k}") for k in range(60)] + [(7, f"seven {k}") for k in range(80)] + [(d, f"text {d}") for d in range(40)] + [(-5, "x")] * 30
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    cuts = rans.bounds(df, rows, 1, 1000)
+    tokens = rans.tokenize(df, cuts=cuts).select("doc_id", "place", "bucket").collect()
+    order = sorted(tokens, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.place))
+    assert [r.bucket for r in order] == sorted(r.bucket for r in tokens) and max(r.bucket for r in tokens) < cuts.buckets
+    if rows == 3:
+        assert len({r.bucket for r in tokens if r.doc_id is None}) > 9 and len({r.bucket for r in tokens if r.doc_id == 7}) > 9
+    got = sorted(rans.round_trip(df, rows_per_bucket=rows, least=1).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((d for d, _ in docs), key=lambda d: (d is not None, d or 0))
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids) + 1
+    assert sorted(r.n_tokens for r in got) == sorted(count(t) for _, t in docs)
+    assert rans.bounds(df, 1, 1, 8).buckets <= 9
+
+
 def test_token_files_of_the_corpus(spark, library):
     folder, start = "/root/testdata/sf0.001", 0
     rows = {r.doc_id: r for r in queries.op3_rans(spark, folder).collect()}
