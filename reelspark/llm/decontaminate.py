@@ -8,11 +8,16 @@ characters) are missing around such a place, k edits cannot be enough; elsewhere
 Myers' bit-parallel algorithm gives the smallest edit distance of the item to any
 passage there.
 
+Items come to the driver a block of BLOCK_CHARS characters at a time and go to the
+executors as one broadcast each. Documents are read once, whatever the number of
+blocks: with several, a task takes GROUP_BYTES of texts at a time past each block's
+automaton, of which it holds one.
+
 Texts and items are compared in lower case with white space runs as one space.
 
 Defined cases: null and empty texts and items match nothing; items so short that
-pieces would be under MIN_PIECE characters get a smaller budget, in the end 0
-(exact matches only); equal items are reported each with their own item_id;
+pieces would be under MIN_PIECE characters (below about 90 characters) get a
+smaller budget than ERROR_RATE's share, in the end 0 (exact matches only); equal items are reported each with their own item_id;
 repeated rows of documents give their rows each; tables may be empty; columns
 other than the ids and texts are not looked at.
 """
@@ -23,13 +28,14 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.llm.textcore import slices
+from reelspark.llm.textcore import slices, text_buffer
 
 ERROR_RATE, MIN_PIECE, SHRED = 0.1, 9, 5
-ITEM_BLOCK_CHARS = 4_000_000
+BLOCK_CHARS, GROUP_BYTES = 4_000_000, 64 << 20
 MATCHES = "doc_id long, item_id long, distance int, begin long, end long"
 
 
@@ -138,14 +144,40 @@ class Matcher:
         return out
 
 
-def item_blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items in blocks of about ITEM_BLOCK_CHARS characters; each block goes to the executors by itself."""
-    rows = items.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t"))
-    chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = max(1, -(-int(chars) // ITEM_BLOCK_CHARS))
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield [(r.i, r.t) for r in part.orderBy("i", "t").collect()]
+def item_blocks(items: DataFrame) -> list[Broadcast]:
+    """The items in blocks of about BLOCK_CHARS characters, each as a broadcast."""
+    send, blocks, block, size = items.sparkSession.sparkContext.broadcast, [], [], 0
+    for row in items.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("t IS NOT NULL").toLocalIterator():
+        block.append((row.i, row.t))
+        size += len(row.t)
+        if size >= BLOCK_CHARS:
+            blocks.append(send(block))
+            block, size = [], 0
+    return [*blocks, send(block)] if block else blocks
+
+
+def _groups(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of about limit bytes of text."""
+    group, size = [], 0
+    for batch in batches:
+        group.append(batch)
+        size += len(text_buffer(batch.column(column))[0])
+        if size >= limit:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def _passes(batches: Iterator[pa.RecordBatch], column: int, blocks: list[Broadcast], rate: float, piece: int) -> Iterator[tuple[list[pa.RecordBatch], Iterator[Matcher]]]:
+    """Groups of batches, each with the matchers that it has to pass."""
+    if len(blocks) == 1:
+        matcher = Matcher(blocks[0].value, rate, piece)
+        for batch in batches:
+            yield [batch], iter([matcher])
+        return
+    for group in _groups(batches, column, GROUP_BYTES):
+        yield group, (Matcher(block.value, rate, piece) for block in blocks)
 
 
 def matches(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, piece: int = MIN_PIECE) -> DataFrame:
@@ -153,37 +185,28 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, piece:
 
     begin and end are places in the text as compared (lower case, single spaces).
     """
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out = None
-    for block in item_blocks(items):
-        found = source.mapInArrow(_finder(block, rate, piece), MATCHES)
-        out = found if out is None else out.unionByName(found)
-    return out
-
+    blocks = item_blocks(items)
 
-def _finder(block, rate, piece):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(block, rate, piece)
-        for whole in batches:
-            for batch in slices(whole):
-                rows = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in matcher.find(normal(t))]
-                cols = list(zip(*rows, strict=True)) or [[]] * 5
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "distance", "begin", "end"])
+        for group, matchers in _passes(batches, 1, blocks, rate, piece):
+            for matcher in matchers:
+                for batch in (part for whole in group for part in slices(whole)):
+                    rows = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in matcher.find(normal(t))]
+                    cols = list(zip(*rows, strict=True)) or [[]] * 5
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "distance", "begin", "end"])
 
-    return run
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, MATCHES)
 
 
 def clean(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, piece: int = MIN_PIECE) -> DataFrame:
     """docs without the rows whose text holds an item; all columns as they are."""
-    at = docs.columns.index("text")
-    out = docs
-    for block in item_blocks(items):
+    at, blocks = docs.columns.index("text"), item_blocks(items)
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block, rate, piece)
-            for batch in batches:
-                yield batch.filter(pa.array([not matcher.find(normal(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, matchers in _passes(batches, at, blocks, rate, piece):
+            for matcher in matchers:
+                group = [batch.filter(pa.array([not matcher.find(normal(t)) for t in batch.column(at).to_pylist()], pa.bool_())) for batch in group]
+            yield from group
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    return docs.mapInArrow(run, docs.schema)

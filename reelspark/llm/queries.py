@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspark.llm import bpe, decontaminate, htmltree, langid, quality, rans, sharding, simhash, substring, warc
-from reelspark.session import ship
+from reelspark.session import ship, spread
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
