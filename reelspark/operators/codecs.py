@@ -82,3 +82,42 @@ def encode_frames(frames: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packets, pa.binary()), pa.array(error)], names=["frame", "packet", "max_error"])
 
     return frames.select("frame", "samples").mapInArrow(run, "frame long, packet binary, max_error long")
+
+
+#: Fixed value: samples of a subframe of the second codec.
+SUBFRAME = 256
+
+
+def decode_subframes(data: bytes, channels: int) -> np.ndarray:
+    """(samples, channels) of a packet: for each channel its step index and predictor, then whole subframes, a channel's after the other's.
+
+    Bytes beyond the last whole subframe are not decoded; an index beyond the
+    table raises ValueError, a packet shorter than its head has no samples.
+    """
+    if channels not in (1, 2):
+        raise ValueError(f"{channels} channels")
+    if len(data) < 4 * channels:
+        return np.zeros((0, channels), np.int64)
+    index, predictor = np.frombuffer(data, "<i2", 2 * channels).reshape(-1, 2).T.astype(np.int64)
+    if ((index < 0) | (index > 88)).any():
+        raise ValueError(f"step index {index.max()}")
+    n = (len(data) - 4 * channels) * 2 // channels // SUBFRAME
+    raw = np.frombuffer(data, np.uint8, n * channels * SUBFRAME // 2, 4 * channels).astype(np.int64)
+    nibbles = np.stack([raw & 15, raw >> 4], axis=1).reshape(n, channels, SUBFRAME).swapaxes(1, 2).reshape(-1, channels)
+    out = np.zeros(nibbles.shape, np.int64)
+    for k, nibble in enumerate(nibbles):  # channels side by side
+        move = (2 * (nibble & 7) + 1) * STEPS[index] >> 3
+        predictor = out[k] = np.clip(np.where(nibble & 8, predictor - move, predictor + move), -32768, 32767)
+        index = np.clip(index + MOVES[nibble & 7], 0, 88)
+    return out
+
+
+def decode_packets(packets: DataFrame, channels: int) -> DataFrame:
+    """packets(packet, data) -> packet, samples (interleaved)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            samples = [decode_subframes(d or b"", channels).ravel().astype(np.int16) for d in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(samples, pa.list_(pa.int16()))], names=["packet", "samples"])
+
+    return packets.select("packet", "data").mapInArrow(run, "packet long, samples array<short>")

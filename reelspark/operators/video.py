@@ -119,3 +119,16 @@ def unpack_sparse(data: bytes, n: int) -> tuple[np.ndarray, int]:
     out = np.zeros(n, np.int8)
     out[mask] = np.frombuffer(data, np.int8, int(mask.sum()), head)
     return out, head + int(mask.sum())
+
+
+def transformed(blocks: DataFrame, q: int) -> DataFrame:
+    """blocks(vec_id, block of 16 values) -> vec_id, levels (quantized coefficients), packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                levels = quantize(forward(np.array(batch.column(1).to_pylist()).reshape(-1, 4, 4)), q).reshape(-1, 16)
+                packed = pa.array([pack_sparse(v) for v in levels], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(levels), pa.list_(pa.int64())), packed], names=["vec_id", "levels", "packed"])
+
+    return blocks.select("vec_id", "block").mapInArrow(run, "vec_id long, levels array<long>, packed binary")

@@ -12,6 +12,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,8 +55,8 @@ class Packet(NamedTuple):
     body: bytes
 
 
-def build(streams: list[Stream], pages: list[list[tuple[int, int, int, bytes]]]) -> bytes:
-    """A container of pages of packets (sid, flags, frame, body); a page's place is its number."""
+def build(streams: list[Stream], pages: list[list[tuple[int, int, int, bytes]]], start: int = 0) -> bytes:
+    """A container of pages of packets (sid, flags, frame, body), numbered from start."""
     first = HEADER + DESCRIPTOR * len(streams)
     num, den = next(((s.fps_num, s.fps_den) for s in streams if s.stype == VIDEO), (30, 1))
     ticks = lambda n: n * TICKS * den // num
@@ -63,7 +64,7 @@ def build(streams: list[Stream], pages: list[list[tuple[int, int, int, bytes]]])
     out[0] = out[0].ljust(HEADER, b"\0")
     for s in streams:
         out.append(struct.pack(DESCRIPTOR_FORMAT, s.sid, s.stype, DESCRIPTOR, s.codec.encode(), 1, TICKS, s.width, s.height, s.fps_num, s.fps_den, 0, 0, 0, 0))
-    for seq, packets in enumerate(pages):
+    for seq, packets in enumerate(pages, start):
         payload = b"".join(struct.pack(PACKET_FORMAT, sid, flags, PACKET, 0, len(body), frame) + body for sid, flags, frame, body in packets)
         out.append(struct.pack(PAGE_FORMAT, PAGE_MAGIC, PAGE, FLAG_CRC | FLAG_KEYFRAME, seq, ticks(seq), len(payload), len(packets), 0, zlib.crc32(payload), 0))
         out.append(payload)
@@ -208,8 +209,8 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select(F.col("path").alias("file"), "content")
 
 
-def pack(frames: DataFrame, file: str, order: str, body: str, rate: tuple[int, int] = (24000, 1001), codec: str = "M2Y1") -> DataFrame:
-    """file, content: a video container for each file of frames, a page a frame in order.
+def pack(frames: DataFrame, file: str, order: str, body: str, rate: tuple[int, int] = (24000, 1001), codec: str = "M2Y1", start: str | None = None) -> DataFrame:
+    """file, content: a video container for each file of frames, a page a frame in order; pages are numbered from the least start of a file, or 0.
 
     A file is built in one task, so files must be bounded; callers cut streams
     into segments of a bounded number of frames.
@@ -218,10 +219,10 @@ def pack(frames: DataFrame, file: str, order: str, body: str, rate: tuple[int, i
     def run(key, table):
         rows = sorted(zip(table.column(order).to_pylist(), table.column(body).to_pylist(), strict=True))
         stream = Stream(0, VIDEO, codec, 16, 16, *rate)
-        data = build([stream], [[(0, 0, frame, own)] for frame, own in rows])
+        data = build([stream], [[(0, 0, frame, own)] for frame, own in rows], min(table.column(start).to_pylist()) if start else 0)
         return pa.table({"file": [key[0].as_py()], "content": pa.array([data], pa.binary())})
 
-    return frames.select(F.col(file).alias("file"), order, body).groupBy("file").applyInArrow(run, "file string, content binary")
+    return frames.select(F.col(file).alias("file"), order, body, *[start] * bool(start)).groupBy("file").applyInArrow(run, "file string, content binary")
 
 
 def seek_points(packets: DataFrame, sync, most: int = MAX_SEEK_POINTS) -> DataFrame:
@@ -265,6 +266,57 @@ def with_index(data: bytes, points: list[tuple[int, int]], frames: int) -> bytes
     return data + payload + struct.pack("<IIQIIII", INDEX_FOOTER_MAGIC, INDEX_FOOTER_VERSION, len(data), len(payload), INDEX_MAGIC, INDEX_VERSION, 0)
 
 
+def add_indexes(files: DataFrame, points: DataFrame) -> DataFrame:
+    """files(file, content) with the seek index of their points(file, frame, page_offset), MAX_SEEK_POINTS of a file at most, behind their pages."""
+    listed = points.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("page_offset", "frame"))).alias("points"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for data, own in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                own = [(p["frame"], p["page_offset"]) for p in own or ()]
+                out.append(with_index(data.as_py(), own, max((f for f, _ in own), default=-1) + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["file", "content"])
+
+    return files.join(listed, "file", "left").select("file", "content", "points").mapInArrow(run, "file string, content binary")
+
+
+def media_end(content):
+    """Column of the byte at which a container's pages end: where an index footer says, else its size."""
+    from reelspark.functions.numbers import le
+
+    size = F.length(content).cast("long")
+    foot = F.substring(content, F.greatest(size - INDEX_FOOTER + 1, F.lit(1)).cast("int"), F.lit(INDEX_FOOTER))
+    found = (le(foot, F.lit(0), 4) == INDEX_FOOTER_MAGIC) & (le(foot, F.lit(4), 4) == INDEX_FOOTER_VERSION)
+    return F.when(found, le(foot, F.lit(8), 4) + le(foot, F.lit(12), 4) * (1 << 32)).otherwise(size)
+
+
+def with_assets(files: DataFrame) -> DataFrame:
+    """files(file, content, assets: list of (key, kind, data)) -> file, content with the bundle behind it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [add_assets(data.as_py(), [(a["key"], a["kind"], a["data"]) for a in own or ()]) for data, own in zip(batch.column(1), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["file", "content"])
+
+    return files.select("file", "content", "assets").mapInArrow(run, "file string, content binary")
+
+
+def read_assets(files: DataFrame) -> DataFrame:
+    """file, key, kind, at, size, crc_ok of each asset behind files(file, content)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = data.as_py()
+                rows += [(name, key, kind, at, size, zlib.crc32(data[at : at + size]) == crc) for key, kind, at, size, crc in assets_of(data)]
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["file", "key", "kind", "at", "size", "crc_ok"])
+
+    return files.select("file", "content").mapInArrow(run, "file string, key string, kind int, at long, size long, crc_ok boolean")
+
+
 def _pages(data: bytes) -> Iterator[tuple[int, int, int, int, int, bytes]]:
     """(flags, seq, pts, packets, reserved, payload) of each page; ValueError at anything else."""
     at = first_page(data)
@@ -318,6 +370,128 @@ def mux(video: bytes, audio: list[bytes], silence: bytes, codec: str = "PC16", r
     return b"".join(out)
 
 
+#: Containers as rows: a part holds PART_PAGES whole pages (64 MB at most), the first one the header as well.
+PART_PAGES = 128
+PAGES = "file string, segment long, place long, seq long, pts long, flags int, count int, reserved int, payload binary"
+
+
+def read_pages(files: DataFrame) -> DataFrame:
+    """Pages of files(file, segment, content) with their place in the file; anything but pages behind the header is an error."""
+    schema = arrow_schema(PAGES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, segment, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                rows, size = [], 0
+                for place, (flags, seq, pts, count, reserved, payload) in enumerate(_pages(data.as_py())):
+                    rows.append((name, segment, place, seq, pts, flags, count, reserved, payload))
+                    size += len(payload)
+                    if size > 8 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                        rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return files.select("file", F.col("segment").cast("long"), "content").mapInArrow(run, PAGES)
+
+
+def write_parts(pages: DataFrame, heads: DataFrame) -> DataFrame:
+    """file, part, content: the containers of pages(file, seq, pts, flags, count, reserved, payload) behind heads(file, head), in parts.
+
+    A container is its parts in order; different tasks build them.
+    """
+
+    def run(key, table):
+        rows = sorted(table.select(["seq", "pts", "flags", "count", "reserved", "payload", "head"]).to_pylist(), key=lambda r: r["seq"])
+        head = rows[0]["head"] if rows[0]["head"] and key[1].as_py() == 0 else b""
+        data = head + b"".join(_page(r["flags"], r["seq"], r["pts"], r["count"], r["reserved"], r["payload"]) for r in rows)
+        return pa.table({"file": [key[0].as_py()], "part": pa.array([key[1].as_py()], pa.int64()), "content": pa.array([data], pa.binary())})
+
+    rows = pages.withColumn("part", F.expr(f"seq div {PART_PAGES}")).join(heads.select("file", "head"), "file")
+    rows = rows.withColumn("head", F.when(F.col("seq") % PART_PAGES == 0, F.col("head")))
+    return rows.groupBy("file", "part").applyInArrow(run, "file string, part long, content binary")
+
+
+def read_parts(parts: DataFrame, body: int | None = None) -> DataFrame:
+    """Packets of containers in parts(file, part, content), each part by itself."""
+    from pyspark.sql import Window
+
+    schema = arrow_schema(PACKETS)
+    before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    places = parts.select("file", "part", F.coalesce(F.sum(F.length("content")).over(before), F.lit(0)).alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, part, data, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                data = data.as_py()
+                packets = packets_of(lambda a, n, data=data: data[a : a + n], len(data), 0 if part else first_page(data), True, body)
+                yield from _packet_rows(name, (p._replace(page_offset=p.page_offset + at) for p in packets), schema)
+
+    return parts.join(places, ["file", "part"]).select("file", "part", "content", "at").mapInArrow(run, PACKETS)
+
+
+def _head_of(change):
+    """A column function: change(head of a container up to its first page, a number) -> head."""
+
+    @F.pandas_udf("binary")
+    def run(heads: pd.Series, numbers: pd.Series) -> pd.Series:
+        return pd.Series([bytes(change(bytes(h)[: first_page(bytes(h))], int(n))) for h, n in zip(heads, numbers, strict=True)], dtype=object)
+
+    return run
+
+
+def _with_duration(head: bytes, pages: int) -> bytes:
+    out, video = bytearray(head), streams_of(head)[0]
+    struct.pack_into("<Q", out, 20, pages * TICKS * video.fps_den // video.fps_num)
+    return out
+
+
+def _with_audio(head: bytes, rate: int, codec: bytes = b"PC16", channels: int = 2) -> bytes:
+    out = bytearray(head)
+    for at, kind, value in ((12, "<I", 2), (28, "<I", 2), (36, "<Q", len(head) + DESCRIPTOR)):
+        struct.pack_into(kind, out, at, value)
+    return out + struct.pack(DESCRIPTOR_FORMAT, 1, AUDIO, DESCRIPTOR, codec, 1, rate, 0, channels, 0, 0, 0, 0, 0, 0)
+
+
+def merged(files: DataFrame) -> DataFrame:
+    """file, part, content: one container of the segments of each file in files(file, segment, skip, content), by segment, without skip pages of each.
+
+    Descriptors must be equal and page numbers go up by one from 0, else the job fails.
+    """
+    from pyspark.sql import Window
+
+    heads = files.select("file", "segment", F.substring("content", 1, MAX_FIRST).alias("head"))
+    first = F.substring("head", HEADER + 1, DESCRIPTOR)
+    one = heads.groupBy("file").agg(F.min_by("head", "segment").alias("head"), F.countDistinct(first).alias("kinds"))
+    pages = read_pages(files).join(files.select("file", "segment", "skip"), ["file", "segment"]).where("place >= skip")
+    counts = pages.groupBy("file", "segment").agg(F.count("*").alias("n"))  # a row for each segment
+    own = Window.partitionBy("file")
+    before = F.sum("n").over(own.orderBy("segment").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    placed = pages.join(counts.withColumn("before", before), ["file", "segment"])
+    expected = F.col("before") + F.col("place") - F.col("skip")
+    gap = F.raise_error(F.format_string("%s: expected page %d, got %d", "file", expected, "seq"))
+    placed = placed.withColumn("seq", F.when(F.col("seq") == expected, F.col("seq")).otherwise(gap.cast("long")))
+    totals = counts.groupBy("file").agg(F.sum("n").alias("pages"))
+    wrong = F.raise_error(F.format_string("%s: segments do not have the same video stream", "file"))
+    head = _head_of(_with_duration)(F.when(F.col("kinds") == 1, F.col("head")).otherwise(wrong.cast("binary")), "pages")
+    return write_parts(placed, one.join(totals, "file").select("file", head.alias("head")))
+
+
+def muxed(files: DataFrame, audio: DataFrame, silence: bytes, rate: int = 48000) -> DataFrame:
+    """file, part, content: files(file, content) with an audio packet behind each page's packets, by position (audio: file, frame, body).
+
+    Missing audio is silence, audio beyond the video is cut.
+    """
+    pages = read_pages(files.withColumn("segment", F.lit(0)))
+    both = pages.join(audio.select("file", F.col("frame").alias("place"), F.col("body").alias("sound")), ["file", "place"], "left")
+    sound = F.coalesce("sound", F.lit(silence))
+    little = lambda c, n: F.concat(*(F.unhex(F.lpad(F.hex(F.shiftright(c, 8 * b).bitwiseAND(F.lit(255))), 2, "0")) for b in range(n)))
+    head = F.concat(F.unhex(F.lit(struct.pack("<BBHI", 1, 0, PACKET, 0).hex())), little(F.length(sound).cast("long"), 4), little(F.col("place"), 4))
+    pages = both.withColumn("payload", F.concat("payload", head, sound)).withColumn("count", F.col("count") + 1)
+    heads = files.select("file", _head_of(_with_audio)(F.substring("content", 1, MAX_FIRST), F.lit(rate)).alias("head"))
+    return write_parts(pages, heads)
+
+
 def retime(data: bytes, num: int, den: int) -> bytes:
     """The same pages at another frame rate: descriptors, page times and duration."""
     first = first_page(data)

@@ -108,3 +108,25 @@ def test_text_files(spark, tmp_path):
     assert [(r.block, r.key, r.value) for r in textfiles.manifest(rows).orderBy("n").collect()] == [(None, "top", "1"), ("Sound", "volume", "900"), ("Sound", "volume", "70"), ("Video", "bright", "no")]
     got = textfiles.settings(rows, {"volume": (0, 50, 10), "bright": (0, 9, 5)}).collect()
     assert {r.key: r.value for r in got} == {"volume": 50, "bright": 5}
+
+
+def test_merge_and_mux_as_rows_equal_those_in_memory(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(container, "PART_PAGES", 3)
+    stream = container.Stream(0, container.VIDEO, "M2Y1", 16, 16, 25, 1)
+    frames = [[(0, 0, k, b"x" * (k + 1))] for k in range(8)]
+    segments = [container.build([stream], frames[:4]), container.build([stream], frames[3:6], 3), container.build([stream], frames[5:], 5)]
+    rows = spark.createDataFrame([("a", k, min(k, 1), s) for k, s in enumerate(segments)], "file string, segment long, skip int, content binary")
+    whole = lambda parts: b"".join(bytes(r.content) for r in parts.orderBy("part").collect())
+    merged = container.merge(segments, [0, 1, 1])
+    parts = container.merged(rows)
+    assert whole(parts) == merged and parts.count() == 3
+    audio = spark.createDataFrame([("a", k, b"s" * k) for k in (1, 2, 7, 9)], "file string, frame long, body binary")
+    sounds = [b"s" * k if k in (1, 2, 7) else b"\0\0" for k in range(8)]
+    muxed = container.muxed(spark.createDataFrame([("a", merged)], "file string, content binary"), audio, b"\0\0")
+    assert whole(muxed) == container.mux(merged, sounds, b"\0\0")
+    got = container.read_parts(muxed).orderBy("seq", "sid").collect()
+    assert [(r.page_offset, r.sid, bytes(r.body)) for r in got] == [(p.page_offset, p.sid, p.body) for p in container.packets_of(lambda a, n: whole(muxed)[a : a + n], len(whole(muxed)), 128)]
+    with pytest.raises(Exception, match="expected page 4, got 5"):
+        container.merged(rows.withColumn("skip", F.when(F.col("segment") == 1, 2).otherwise(F.col("skip")))).collect()

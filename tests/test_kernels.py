@@ -1,5 +1,6 @@
 """Video kernels, the range coder, the second container, merges and seek indexes."""
 
+import random
 import struct
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from reelspark.operators import rangecoder, video
+from reelspark.operators import codecs, rangecoder, video
 from reelspark.sources import blockstream, container
 from reelspark.sources.container import Stream
 
@@ -172,3 +173,30 @@ def test_seek_indexes():
     assert container.with_index(data, [], 0) == data
     with pytest.raises(ValueError, match="no seek index"):
         container.parse_index(b"x" * 40, False)
+
+
+@pytest.mark.parametrize("channels", [1, 2])
+def test_subframes_equal_a_plain_loop(channels):
+    rng = random.Random(channels)
+    for size in (0, 3, 4 * channels, 4 * channels + 127, 4 * channels + 128 * channels, 4 * channels + 700):
+        head = b"".join(struct.pack("<hh", rng.randint(0, 88), rng.randint(-32768, 32767)) for _ in range(channels))
+        data = (head + rng.randbytes(800))[:size]
+        got = codecs.decode_subframes(data, channels)
+        n = max(size - 4 * channels, 0) * 2 // channels // 256
+        assert got.shape == (n * 256, channels)
+        state = [list(struct.unpack_from("<hh", data, 4 * c)) for c in range(channels)] if n else []
+        at = 4 * channels
+        for sub in range(n):
+            for c in range(channels):
+                for k in range(256):
+                    nibble = data[at + k // 2] >> 4 * (k % 2) & 15
+                    index, value = state[c]
+                    move = (2 * (nibble & 7) + 1) * int(codecs.STEPS[index]) // 8
+                    value = max(-32768, min(32767, value + (-move if nibble & 8 else move)))
+                    state[c] = [max(0, min(88, index + int(codecs.MOVES[nibble & 7]))), value]
+                    assert got[sub * 256 + k, c] == value
+                at += 128
+    with pytest.raises(ValueError):
+        codecs.decode_subframes(struct.pack("<hh", 89, 0) * 2, channels)
+    with pytest.raises(ValueError):
+        codecs.decode_subframes(b"", 3)
