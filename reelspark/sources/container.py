@@ -93,13 +93,13 @@ def streams_of(head: bytes) -> list[Stream]:
     return out
 
 
-def packets_of(read: Callable[[int, int], bytes], size: int, start: int, strict: bool = False, body: int | None = None) -> Iterator[Packet]:
-    """Packets from the page at start on. read(at, n) gives bytes; body limits how much of each body is read.
+def packets_of(read: Callable[[int, int], bytes], size: int, start: int, strict: bool = False, body: int | None = None, stop: int | None = None) -> Iterator[Packet]:
+    """Packets from the page at start on, of pages that begin before stop. read(at, n) gives bytes; body limits how much of each body is read.
 
     A permissive walk ends at the first page that is none; a strict one raises.
     """
     at = start
-    while at + PAGE <= size:
+    while at + PAGE <= size and (stop is None or at < stop):
         magic, _, page_flags, seq, pts, length, count, _, crc, _ = struct.unpack(PAGE_FORMAT, read(at, PAGE))
         end = at + PAGE + length
         if magic != PAGE_MAGIC or not 0 < length <= MAX_PAYLOAD or not 0 < count <= MAX_PACKETS or end > size:

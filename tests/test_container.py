@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelspark.operators import codecs
-from reelspark.sources import container, textfiles
+from reelspark.sources import container, pagefile, textfiles
 from reelspark.sources.container import Stream
 from reelspark.sources.pagefile import PageFileSource
 
@@ -62,19 +62,31 @@ def test_files_and_data_source(spark, tmp_path):
     a = container.read_packets(files).drop("file", "body").collect()
     spark.dataSource.register(PageFileSource)
     df = spark.read.format("pagefile").option("splitBytes", 400).load(str(tmp_path))
-    assert df.rdd.getNumPartitions() > 3
+    assert df.rdd.getNumPartitions() > 6
     assert sorted(a) == sorted(df.drop("file", "body").collect()) and len(a) == 60
     assert container.read_streams(files).count() == 6
     points = container.seek_points(container.read_packets(files, body=4), F.col("sid") == 0, most=4)
     assert points.count() == 12
 
 
+@pytest.mark.parametrize("split", [33, 64, 100, 1 << 20])
+def test_ranges_hold_each_page_once(tmp_path, split):
+    data = sample(12)
+    plain = list(container.packets_of(lambda a, n: data[a : a + n], len(data), container.first_page(data)))
+    indexed = container.with_index(data, [(0, 96)], 12)
+    for kind, content in {"plain": data, "index": indexed, "bundle": container.add_assets(indexed, [("poster", 1, data)])}.items():
+        (file := tmp_path / kind).write_bytes(content)
+        options = {"path": str(file), "splitBytes": str(split)}
+        got = [row for run in pagefile.ranges(pagefile._files(options), options) for batch in pagefile._read(run, options) for row in batch.to_pylist()]
+        assert [(r["page_offset"], r["seq"], r["ordinal"], r["body"]) for r in got] == [(p.page_offset, p.seq, p.ordinal, p.body) for p in plain], kind
+
+
 def test_stream_takes_each_file_once(spark, tmp_path):
     spark.dataSource.register(PageFileSource)
     source, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
     source.mkdir()
     for k in range(4):
-        (source / f"f{k}.bin").write_bytes(sample(5, 5 * k))
+        (source / f"f{9 - k}.bin").write_bytes(sample(5, 5 * k))  # later names sort earlier
         if k % 2:
             query = spark.readStream.format("pagefile").load(str(source)).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).start()
             query.processAllAvailable()
