@@ -10,6 +10,7 @@ For prediction, vectors and filters are multiplied out into tables by byte and
 by pair of bytes, so that a filter of any width is a few table rows added up.
 
 Defined cases: null texts and texts without a letter are `und` with score 0;
+the `most` most frequent languages are learned (a bound of 3000 by default);
 without learned languages all texts are; a null doc_id is not held out and not
 learned from; equal probabilities go to the first language in order; repeated
 rows are predicted each; other columns are ignored.
@@ -160,7 +161,7 @@ def sample(docs: DataFrame, most: int = SAMPLE_DOCS) -> tuple[list[str], np.ndar
                 raw = [x[i].tobytes() for i in keep]
                 yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(row[keep], pa.int64())), pa.array(raw, pa.binary())], names=["lang", "bytes"])
 
-    got = taken.mapInArrow(run, "lang string, bytes binary").limit(2 * most * WINDOWS_PER_DOC).collect()
+    got = taken.mapInArrow(run, "lang string, bytes binary").orderBy(F.xxhash64("lang", "bytes"), "lang", "bytes").limit(2 * most * WINDOWS_PER_DOC).collect()
     got = sorted((r["lang"], bytes(r["bytes"])) for r in got)
     place = {lang: k for k, lang in enumerate(languages)}
     x = np.frombuffer(b"".join(b for _, b in got), np.uint8).reshape(-1, WINDOW)

@@ -96,6 +96,19 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch, limit):
     assert all(r.request.concurrent_to == r.metadata.concurrent_to == r.response.record_id == r.capture_id for r in got)
     assert all(bytes(r.response.payload) == (big if r.response.page_id == 3 else "small").encode() for r in got if r.response.page_id in (3, 4, 5))
     assert warc.round_trip(df.limit(0)).count() == 0
+    text = b"".join(zlib.decompress(bytes(r.content), 31) for r in spark.read.format("binaryFile").load(path + "/*.gz").collect())
+    assert text.count(b"WARC-Type: revisit") == text.count(b"WARC-Refers-To-Date: 1970") == 3
+
+
+def test_large_pages_have_smaller_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SMALL_PAGE", 100)
+    monkeypatch.setattr(warc, "CAPTURES_PER_FILE", 64)
+    rows = [(k, f"http://a/{k}", "x" * (50 if k % 2 else 1000) + str(k)) for k in range(60)]
+    path = f"file://{tmp_path}/warc"
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path, payload=True).collect()
+    assert {r.response.page_id: bytes(r.response.payload).decode() for r in got} == {k: h for k, _, h in rows}
+    sizes = sorted(warc_file.content.count(b"WARC-Type: response") for warc_file in (type("F", (), {"content": zlib.decompress(bytes(r.content), 31)}) for r in spark.read.format("binaryFile").load(path + "/*.gz").collect()))
+    assert sizes[-1] == 30 and max(sizes[:-1]) <= 4 and sum(sizes) == 60
 
 
 def test_warc_reader_refuses_damage():
@@ -112,6 +125,14 @@ def test_captures_without_request(spark):
     assert sorted((r.capture_id, r.response is not None, r.request is not None, r.metadata is not None) for r in got) == [("gone", False, True, False), ("r", True, False, True)]
 
 
+def test_captures_with_several_records_of_a_kind(spark):
+    rows = [("r", "response", None), ("q3", "request", "r"), ("q1", "request", "r"), ("q2", "request", "r"), ("m", "metadata", "r")]
+    (got,) = warc.captures(spark.createDataFrame(rows, "record_id string, type string, concurrent_to string")).collect()
+    assert (got.request.record_id, got.metadata.record_id, [r.record_id for r in got.others]) == ("q1", "m", ["q2", "q3"])
+    twice = b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <a>\r\nWARC-Concurrent-To: <b>\r\nWARC-Concurrent-To: <c>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    assert next(warc.parse(twice))[0]["warc-concurrent-to"] == "<b>"
+
+
 def test_language_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
@@ -132,6 +153,31 @@ def test_language_cases(spark):
     assert {r.lang_pred for r in langid.predict(df.selectExpr("doc_id", "text", "cast(null AS string) AS lang")).collect()} == {"und"}
 
 
+def test_prediction_equals_a_plain_convolution(spark):
+    net = langid.Network(["a", "b", "c"])
+    text = "Some words, élan & 漢字 " * 40
+    x, row, letters = langid.windows(pa.array([text, "", "short"]))
+    assert row.tolist() == [0] * (len(x) - 1) + [2]
+    expected = []
+    for window in x:
+        pooled = []
+        for k in langid.WIDTHS:
+            filters = net.w[f"filter{k}"].reshape(k, langid.VECTOR, langid.FILTERS)
+            sums = [sum(net.w["vector"][window[i + j]] @ filters[j] for j in range(k)) for i in range(langid.WINDOW - k + 1)]
+            pooled.append(np.maximum(np.max(sums, axis=0) + net.w[f"bias{k}"], 0))
+        z = np.exp(np.concatenate(pooled) @ net.w["out"] + net.w["out_bias"])
+        expected.append(z / z.sum())
+    assert np.allclose(net.probabilities(x, net.tables()), expected, atol=1e-5)
+    assert letters[0] == sum(c.isalpha() and c.isascii() or not c.isascii() for c in bytes(x[0]).decode("latin-1"))
+
+
+def test_equal_probabilities_and_order_of_samples(spark):
+    rows = [(k, "same text here " * 3, lang) for k, lang in enumerate(["b", "a"] * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, other = (langid.sample(x, 10) for x in (df, df.repartition(5)))
+    assert one[0] == ["a", "b"] and (one[1] == other[1]).all() and (one[2] == other[2]).all()
+
+
 def test_network_gradients():
     net = langid.Network(["a", "b"])
     rng = np.random.default_rng(0)
