@@ -24,8 +24,12 @@ def preview(c: Column) -> Column:
     return F.struct(F.substring(c, 1, PREVIEW).alias("line1"), F.substring(c, PREVIEW + 1, PREVIEW).alias("line2"), (F.length(c) > 2 * PREVIEW).alias("truncated"))
 
 
+#: Fixed value: what counts as a year.
+YEAR = r"(1[89]\d{2}|20\d{2})"
+
+
 def year(c: Column) -> Column:
-    return null_if_empty(F.regexp_extract(c, r"(1[89]\d{2}|20\d{2})", 1)).cast("long")
+    return null_if_empty(F.regexp_extract(c, YEAR, 1)).cast("long")
 
 
 def series(c: Column) -> Column:

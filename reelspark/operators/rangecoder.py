@@ -119,3 +119,16 @@ def encode_packets(packets: DataFrame, lanes: int = 256) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coded, pa.binary()), pa.array(sizes, pa.int64()), pa.array(same)], names=["frame", "coded", "length", "verified"])
 
     return packets.select("frame", "body").mapInArrow(run, "frame long, coded binary, length long, verified boolean")
+
+
+def decode_packets(packets: DataFrame, lanes: int = 256) -> DataFrame:
+    """packets(frame, coded, length) -> frame, body."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, lanes):
+                batch = whole.slice(at, lanes)
+                bodies = decode(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary())], names=["frame", "body"])
+
+    return packets.select("frame", "coded", "length").mapInArrow(run, "frame long, body binary")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from reelspark.operators import codecs, video
+from reelspark.operators import codecs, rangecoder, video
 from reelspark.plans.containers import FRAMES, files, sync_mark
 from reelspark.plans.registry import query
 from reelspark.session import shared_path
@@ -196,3 +196,45 @@ def subframe_decode(t):
     data = F.concat(F.unhex(F.lit("0500f0ff0a001000")), F.substring(F.encode(F.repeat(F.sha2(F.col("text"), 512), F.lit(5)), "utf-8"), 1, 600))
     out = codecs.decode_packets(t.benchmark.select(F.col("item_id").alias("packet"), data.alias("data")), 2)
     return out.select("packet", F.size("samples").cast("long").alias("samples"), F.array_min("samples").alias("low"), F.array_max("samples").alias("high"))
+
+
+@query(f"SELECT file, frame, 'M2Y2' AS codec, key AS keyframe, 0::BIGINT AS y_size, 0::BIGINT AS cb_size, 0::BIGINT AS cr_size FROM ({FRAMES})")
+def body_metadata(t):
+    """What the fixed part of each body says: codec, frame, key mark and the planes' sizes."""
+    found = container.read_packets(files(t), body=28)
+    head = container.body_fields(F.col("body"))
+    return found.select("file", head["frame"].alias("frame"), head["codec"].alias("codec"), head["keyframe"].alias("keyframe"), *(head[f"{p}_size"].alias(f"{p}_size") for p in ("y", "cb", "cr")))
+
+
+@query(f"SELECT file, seq, seq * 30000 // 25 AS pts, frame FROM ({FRAMES})")
+def retime_container(t):
+    """The same pages at 25 frames a second."""
+    return container.read_packets(container.retimed(files(t), 25, 1), body=0).select("file", "seq", "pts", "frame")
+
+
+@query("SELECT item_id, sha256(text) AS digest, octet_length(encode(text))::BIGINT AS length FROM benchmark")
+def range_round_trip(t):
+    """Texts through the adaptive range coder and back; the model begins anew with each."""
+    coded = rangecoder.encode_packets(t.benchmark.select(F.col("item_id").alias("frame"), F.encode("text", "utf-8").alias("body")))
+    back = rangecoder.decode_packets(coded.select("frame", "coded", "length"))
+    return back.select(F.col("frame").alias("item_id"), F.sha2("body", 256).alias("digest"), F.length("body").cast("long").alias("length"))
+
+
+_REACH = 2
+_VECTORS = ", ".join(f"({k}, {x}, {y})" for k, (x, y) in enumerate(video.candidates(_REACH)))
+
+
+@query(f"""
+WITH v AS (SELECT vec_id, {_WORK} AS b FROM embeddings), f AS (SELECT vec_id // 400 AS stream, vec_id // 4 AS frame, flatten(list(b ORDER BY vec_id)) AS p FROM v GROUP BY 1, 2 HAVING count(*) = 4),
+     g AS (SELECT *, lag(p) OVER (PARTITION BY stream ORDER BY frame) AS q FROM f), c AS (SELECT * FROM (VALUES {_VECTORS}) t(ord, x, y)),
+     k AS (SELECT stream, frame, gx, gy, ord, x, y, list_sum([abs(p[(gy * 8 + i // 8) * 16 + gx * 8 + i % 8 + 1] - q[(gy * 8 + y + i // 8) * 16 + gx * 8 + x + i % 8 + 1]) FOR i IN range(64)])::BIGINT AS sad
+           FROM g, (SELECT unnest([0, 1]) AS gx), (SELECT unnest([0, 1]) AS gy), c WHERE q IS NOT NULL AND gx * 8 + x BETWEEN 0 AND 8 AND gy * 8 + y BETWEEN 0 AND 8)
+SELECT stream::VARCHAR AS stream, frame, gx::BIGINT AS bx, gy::BIGINT AS "by", arg_min(x, (sad, ord))::BIGINT AS mx, arg_min(y, (sad, ord))::BIGINT AS my, min(sad) AS sad FROM k WHERE sad <= {video.CUTOFF} GROUP BY 1, 2, 3, 4""")
+def motion_search(t):
+    """Full search of each 8 x 8 block of frames of 16 x 16 in the frame before; the first of equals."""
+    b = F.transform("embedding", lambda v: F.lpad(F.hex((F.round(v.cast("double") * 127).cast("long") + 128) % 256), 2, "0"))
+    rows = t.embeddings.select(F.expr("vec_id div 4").alias("frame"), "vec_id", F.unhex(F.array_join(b, "")).alias("rows"))
+    strips = F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "rows"))), lambda s: s["rows"])
+    frames = rows.groupBy("frame").agg(strips.alias("strips")).where(F.size("strips") == 4)
+    plane = F.concat(*(F.col("strips")[k] for k in range(4)))
+    return video.motion(frames.select(F.expr("frame div 100").cast("string").alias("stream"), "frame", plane.alias("plane")), 16, 16, _REACH)

@@ -49,10 +49,10 @@ def strip_tags(t):
 
 
 @query(r"""
-WITH x AS (SELECT doc_id, n_chars, substring(trim(translate(concat('  ', substring(text, 1, 60), '|x'), '|' || chr(13) || chr(10), '/  '), ' '), 1, 39) AS label FROM documents)
+WITH x AS (SELECT doc_id, n_chars, substring(trim(translate(concat('  ', text, '|x'), '|' || chr(13) || chr(10), '/  '), ' '), 1, 39) AS label FROM documents)
 SELECT doc_id, label, printf('%d.%03d|', n_chars // 1000, n_chars % 1000) || label AS line FROM x""")
 def sanitize_label(t):
-    label = S.label(F.concat(F.lit("  "), F.substring("text", 1, 60), F.lit("|x")))
+    label = S.label(F.concat(F.lit("  "), F.col("text"), F.lit("|x")))
     clock = F.concat(N.div(F.col("n_chars"), 1000).cast("string"), F.lit("."), F.lpad((F.col("n_chars") % 1000).cast("string"), 3, "0"), F.lit("|"))
     return t.documents.select("doc_id", label.alias("label"), F.concat(clock, label).alias("line"))
 

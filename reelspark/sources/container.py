@@ -507,3 +507,23 @@ def retime(data: bytes, num: int, den: int) -> bytes:
         n += 1
     struct.pack_into("<Q", head, 20, n * TICKS * den // num)
     return bytes(head) + b"".join(out)
+
+
+def retimed(files: DataFrame, num: int, den: int) -> DataFrame:
+    """files(file, content) at another frame rate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([retime(c.as_py(), num, den) for c in batch.column(1)], pa.binary())], names=["file", "content"])
+
+    return files.select("file", "content").mapInArrow(run, "file string, content binary")
+
+
+def body_fields(body):
+    """Column of a struct (codec, frame, keyframe, y_size, cb_size, cr_size) of a delta codec's body, of which 28 bytes are enough; null for others."""
+    from reelspark.functions.numbers import le
+
+    codec = F.substring(body, 1, 4).cast("string")
+    sizes = [le(body, F.lit(16 + 4 * k), 4).alias(f"{p}_size") for k, p in enumerate(("y", "cb", "cr"))]
+    fields = F.struct(codec.alias("codec"), le(body, F.lit(8), 4).alias("frame"), (le(body, F.lit(12), 1) == 1).alias("keyframe"), *sizes)
+    return F.when((F.length(body) >= 28) & codec.isin("M2Y1", "M2Y2"), fields)
