@@ -48,7 +48,7 @@ def interval(points: DataFrame, spans: DataFrame, by: list[str], at: str, start:
 
     Time is cut into cells of cell * 2 ** level, and a span goes to the least level
     whose cells are as long as it, so to two cells at most. A point goes to its cell
-    of each level that spans have, 63 at most, and they meet by equality: no side is
+    of each level that spans have (counted first), and they meet by equality: no side is
     compared with all of the other, and a long span costs no more than a short one.
     """
     down = lambda c, level: F.floor(c / (F.lit(cell) * F.pow(F.lit(2.0), level))).cast("long")
@@ -57,8 +57,8 @@ def interval(points: DataFrame, spans: DataFrame, by: list[str], at: str, start:
     real = spans.where(length > 0).withColumn("_level", level)
     cells = real.withColumn("_cell", F.explode(F.sequence(down(F.col(start), F.col("_level")), down(F.col(end) - 1, F.col("_level")))))
     right = cells.select(*(F.col(c).alias(f"_{c}") for c in dict.fromkeys([*by, start, end, *pick])), "_cell", "_level")
-    levels = real.agg(F.collect_set("_level").alias("_levels"))  # one row
-    left = points.crossJoin(F.broadcast(levels)).withColumn("_own_level", F.explode_outer("_levels")).drop("_levels").withColumn("_own", down(F.col(at), F.col("_own_level")))
+    levels = [r[0] for r in real.select("_level").distinct().collect()] or [0]  # 63 at most
+    left = points.withColumn("_own_level", F.explode(F.array(*map(F.lit, sorted(levels))))).withColumn("_own", down(F.col(at), F.col("_own_level")))
     same = (F.col("_own") == F.col("_cell")) & (F.col("_own_level") == F.col("_level"))
     for c in by:
         same = same & (F.col(c) == F.col(f"_{c}"))
