@@ -33,10 +33,11 @@ def let(value: Column, then) -> Column:
 
 
 def gcd(a, b) -> Column:
-    """Greatest common divisor of two non-negative numbers below 2^31."""
+    """Greatest common divisor of two non-negative numbers below 2^31: eight steps, and the 38 more that there can be only where those do not do."""
     start = F.struct(_c(a).cast("long").alias("a"), _c(b).cast("long").alias("b"))
     step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.greatest(s["b"], F.lit(1))).alias("b")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(46)), start, step)["a"]
+    steps = lambda s, n: F.aggregate(F.sequence(F.lit(1), F.lit(n)), s, step)
+    return let(steps(start, 8), lambda s: F.when(s["b"] == 0, s["a"]).otherwise(steps(s, 38)["a"]))
 
 
 def parse_frame_rate(text: Column) -> Column:

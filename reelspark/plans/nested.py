@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from reelspark.functions import numbers as N
 from reelspark.functions import strings as S
 from reelspark.plans.registry import query
+from reelspark.session import spread
 
 _PROBE = """concat('{{"duration": "', cast(event_id % 500 AS {s}), '.5", "streams": [{{"kind": "video", "fps": "24000/1001", "duration": "', cast(event_id % 300 AS {s}),
  '"}}, {{"kind": "', CASE WHEN event_id % 3 = 0 THEN 'audio' ELSE 'subtitle' END, '", "duration": "', cast(event_id % 700 AS {s}), '"}}]}}')"""
@@ -14,7 +15,7 @@ _STREAMS = "struct<duration:string,streams:array<struct<kind:string,fps:string,d
 
 
 def _probe(t):
-    return t.events.select("event_id", F.from_json(F.expr(_PROBE.format(s="STRING")), _STREAMS).alias("p"))
+    return spread(t.events.select("event_id")).select("event_id", F.from_json(F.expr(_PROBE.format(s="STRING")), _STREAMS).alias("p"))
 
 
 @query(f"""
