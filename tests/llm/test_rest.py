@@ -325,3 +325,31 @@ def test_lines_that_polynomials_mix_up():
     text = f"{word}\n{word.translate(str.maketrans('ab', 'ba'))}\n"
     stats = quality.statistics(pa.array([text, text + text]))
     assert stats["n_dup_lines"].tolist() == [0, 2]
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import random
+
+    rng = random.Random(12)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(n))
+    good = [text(90) for _ in range(8)]
+    item = text(30)
+    rows = [
+        (1, good[0], "a"), (1, good[0], "a"), (None, good[1], "b"), (None, good[1], None), (None, None, "n"), (2, None, None), (3, "", None), (4, good[2], None),
+        (5, good[2] + " more words", None), (6, good[3] + " " + item, None), (None, good[4] + " " + item, None), (7, "short text", None), (8, good[5] + " " + good[4], None),
+        (9, good[4] + " " + good[6] + " " + good[7], None),
+    ]
+    folder = f"file://{tmp_path}"
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra string").selectExpr("doc_id", "text", "extra AS content", "1 AS gone_doc", "length(text) AS n_chars", "'k' AS key")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (None, 0, 0), (7, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, folder).collect()
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert sorted((r.doc_id for r in got), key=str) == [1, 4, 8, 9, None, None]
+    found = {(r.doc_id, r.decoded_sha256) for r in got}
+    assert {(1, digest(good[0])), (4, digest(good[2])), (None, digest(good[1])), (8, digest(f"{good[5]} {good[4]}")), (9, digest(f"{good[6]} {good[7]}"))} == found
+    docs.limit(0).write.parquet(f"{folder}/none/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{folder}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{folder}/none").count() == 0
