@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelspark.llm.textcore import slices
+from reelspark.session import ship
 
 TOKENIZER = str(public_tokenizers.path("byte_bpe_50k.json"))
 START = -1
@@ -288,6 +289,7 @@ def _free(base: str, taken: Iterable[str]) -> str:
 
 def encode(docs: DataFrame, tokenizer: str = TOKENIZER, text: str = "text", keep: list[str] | None = None, decode: bool = False) -> DataFrame:
     """keep's columns (default: all but the text), `ids` (binary, little-endian unsigned 32-bit) and, on request, `decoded`."""
+    ship(docs.sparkSession)
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     names = [_free("ids", keep)] + [_free("decoded", keep)] * decode
     own = _free("text_", keep)
@@ -309,6 +311,7 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER, text: str = "text", keep
 
 def decode(tokens: DataFrame, tokenizer: str = TOKENIZER, ids: str = "ids") -> DataFrame:
     """The same rows with `decoded` behind their columns; null ids give an empty text."""
+    ship(tokens.sparkSession)
     name = _free("decoded", tokens.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

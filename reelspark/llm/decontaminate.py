@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm.textcore import slices, text_buffer
+from reelspark.session import ship
 
 ERROR_RATE, MIN_PIECE, SHRED = 0.1, 9, 5
 BLOCK_CHARS, GROUP_BYTES = 4_000_000, 64 << 20
@@ -146,6 +147,7 @@ class Matcher:
 
 def item_blocks(items: DataFrame) -> list[Broadcast]:
     """The items in blocks of about BLOCK_CHARS characters, each as a broadcast."""
+    ship(items.sparkSession)
     send, blocks, block, size = items.sparkSession.sparkContext.broadcast, [], [], 0
     for row in items.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("t IS NOT NULL").toLocalIterator():
         block.append((row.i, row.t))

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm.textcore import slices
-from reelspark.session import cut
+from reelspark.session import cut, ship
 
 #: A node on fewer pages than MIN_PAGES is not judged; PRESENTATION is that entropy's weight beside content's.
 MIN_PAGES, THRESHOLD, PRESENTATION, SHARED = 8, 0.35, 0.1, 0.8
@@ -297,6 +297,7 @@ def unimportant(values: DataFrame, threshold: float, min_pages: int, shared: flo
 
 def main_text(pages: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES, shared: float = SHARED) -> DataFrame:
     """page_id, url, text of every page."""
+    ship(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host.alias("host"))
     values = cut(features(distinct_pages(rows)))

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from reelspark.llm.bpe import SPACE, TOKENIZER, WORD_AND_MARKS, _Kept, byte_letters
 from reelspark.llm.textcore import slices, text_buffer
-from reelspark.session import shared_path
+from reelspark.session import shared_path, ship
 
 #: White space beyond ASCII before a space.
 OTHER_RUNS = [c + " " for c in SPACE if not c.isascii()]
@@ -270,6 +270,7 @@ class Cuts:
 
 def tokenize(docs: DataFrame, path: str = TOKENIZER, end_id: int | None = END_ID, cuts: Cuts | None = None) -> DataFrame:
     """doc_id, place (a hash of the ids), ids (binary), wide (ids have 4 bytes instead of 2) and bucket, with the end id behind each document."""
+    ship(docs.sparkSession)
     names = ["doc_id", "place", "ids", "wide", "bucket"]
     cuts = cuts or Cuts([], 0)
 
@@ -309,6 +310,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str = TOKENIZER, end_id: i
 
 def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (and ids, little-endian unsigned 32-bit) of each document in token files."""
+    ship(spark)
     files = spark.read.parquet(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelspark.llm.textcore import covered, slices, text_buffer, window_hashes, window_rows, word_hashes, word_spans
-from reelspark.session import cut, shared_path
+from reelspark.session import cut, shared_path, ship
 
 WINDOW = 50
 LEAST_BUCKETS, BYTES_PER_BUCKET, BATCH_BYTES = 64, 14_000_000, 4 << 20
@@ -408,6 +408,7 @@ def _hot(sizes: DataFrame, hot: int) -> DataFrame:
 def dedupe(docs: DataFrame, window: int = WINDOW, digest: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, rest (a struct of docs' other columns), text (without the removed words; null with digest), n_words, n_removed, kept_sha256 (only with digest)."""
     spark: SparkSession = docs.sparkSession
+    ship(spark)
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(None).cast("boolean").alias("none")]
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.struct(*others).alias("rest"))
     rows = rows.select(F.coalesce("doc_id", F.xxhash64("text")).alias("at"), F.col("doc_id").isNull().alias("void"), "text", "doc_id", "rest")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.session import cut, shared_path
+from reelspark.session import cut, shared_path, ship
 
 MIN_REVISIT, CAPTURES_PER_FILE, SMALL_PAGE = 1000, 2000, 1 << 17
 FILE_BYTES = CAPTURES_PER_FILE * SMALL_PAGE
@@ -158,6 +158,7 @@ def _row(fields: dict[str, str], block: bytes, payload: bool) -> tuple:
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """All records of the archives under path; a response's payload without its HTTP header, other records' whole block."""
+    ship(spark)
     kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
     schema = pa.schema([(n, kinds[k]) for n, k in (f.split(" ") for f in RECORDS.split(", "))])
 
