@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from reelspark.llm.components import stars
 from reelspark.llm.textcore import mix, slices, text_buffer, word_spans
-from reelspark.session import cut
+from reelspark.session import cut, ship
 
 SEED, PIVOTS, HOT_KEY = 42, 24, 1 << 15
 #: Keys of a set of shingles, how many least hashes make one, and how many hashes of shingles a task compares sets in.
@@ -65,16 +65,17 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[n
     """XXH64 of every shingle in order, and the number of shingles of each text."""
     starts, ends, first = word_spans(data, offsets)
     lengths = ends - starts
-    begin = np.cumsum(lengths + 1) - lengths - 1  # words with one space between
-    joined = np.full(int((lengths + 1).sum()), 32, np.uint8)
-    if len(starts):
-        inside = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        joined[inside + np.repeat(begin, lengths)] = _LOWER[data[inside + np.repeat(starts, lengths)]]
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    gone = space.copy()  # all white space but the first behind a word
+    gone[1:] &= space[:-1]
+    text = np.where(space, np.uint8(32), _LOWER[data])[~gone].tobytes()
+    begin = starts - np.searchsorted(np.flatnonzero(gone), starts)
+    del space, gone
     words = np.diff(first)
     per = np.where(words >= width, words - width + 1, np.minimum(words, 1))
     head = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per) + np.repeat(first[:-1], per)
     tail = head + np.repeat(np.minimum(words, width), per) - 1
-    text, digest = joined.tobytes(), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
     out = np.empty(len(head), np.uint64)
     for at in range(0, len(head), 1 << 17):
         a, b = begin[head[at : at + (1 << 17)]].tolist(), tail[at : at + (1 << 17)]
@@ -305,6 +306,7 @@ def _components(each: DataFrame, distinct: DataFrame, star: DataFrame) -> DataFr
 
 def groups(docs: DataFrame, shingle: int = 4, max_distance: int = 4, hot_key: int = HOT_KEY) -> DataFrame:
     """doc_id, id (the fingerprint of 64 bits), fp, root (a fingerprint of its component), component_id for every document."""
+    ship(docs.sparkSession)
     each = cut(fingerprints(docs, shingle))
     distinct = cut(each.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")))
     return _components(each, distinct, stars(edges(distinct, block_plan(max_distance, distinct.count()), max_distance, hot_key)))
@@ -366,26 +368,6 @@ def _keyed(distinct: DataFrame) -> DataFrame:
     return distinct.select("id", "keys").mapInArrow(run, "key long, id long")
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Rows (key, id), sorted by key, of keys with two rows or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, above = None, False  # the newest row, not yet passed on, and whether the one before has its key
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            both = pa.Table.from_batches([last, batch] if last is not None else [batch]).combine_chunks().to_batches()[0]
-            key = both.column(0).to_numpy()
-            same = key[1:] == key[:-1]
-            keep = np.append(above, same) | np.append(same, False)
-            above, last = bool(np.append(above, same)[-1]), both.slice(both.num_rows - 1)
-            yield both.slice(0, both.num_rows - 1).filter(pa.array(keep[:-1]))
-        if above:
-            yield last
-
-    return rows.mapInArrow(run, "key long, id long")
-
-
 def _listed(table: DataFrame, row_bytes: int) -> DataFrame:
     """A checkpointed table, marked to go to every task if its counted rows allow that."""
     return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
@@ -540,11 +522,13 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: i
     in 78 bits, with a deviation of 8 (96 and 9 for 4 of 5 shingles), so 140 is 5
     deviations off at least. Components of candidates are then compared in full.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ship(docs.sparkSession)
     each = cut(signatures(docs, shingle, words))
     at = F.min(F.struct("doc_id", "content"))
     distinct = cut(each.groupBy("id").agg(F.min("doc_id").alias("least"), at.alias("at"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
-    rows = cut(_shared(_keyed(distinct).repartition(n, "key").sortWithinPartitions("key"))).join(distinct.select("id", "fp"), "id")
+    keys = _keyed(distinct)
+    several = keys.groupBy("key").count().where("count > 1")
+    rows = cut(keys.join(several, "key", "left_semi")).join(distinct.select("id", "fp"), "id")
     near = stars(_linked(_dealt(rows, "fp", hot_key), words, candidate_distance))
     member = near.select(F.col("a").alias("id"), F.col("b").alias("key")).union(near.select(F.col("b").alias("id"), F.col("b").alias("key")).distinct())
     member = cut(member.join(distinct.select("id", F.col("at.doc_id").alias("at_doc"), F.col("at.content").alias("at_content")), "id"))
