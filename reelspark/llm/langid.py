@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm.textcore import slices, text_buffer
+from reelspark.session import ship
 
 WINDOW, WIDTHS, FILTERS, VECTOR = 256, (2, 3, 4), 16, 8
 SAMPLE_DOCS, WINDOWS_PER_DOC, STEPS, BATCH, SEED = 3000, 4, 400, 64, 42
@@ -133,14 +134,20 @@ def windows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     row = np.repeat(np.arange(len(sizes)), per)
     begin = (np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)) * WINDOW + np.repeat(offsets[:-1], per)
     size = np.minimum(WINDOW, np.repeat(offsets[1:], per) - begin)
-    at = begin[:, None] + np.arange(WINDOW)
-    there = np.arange(WINDOW) < size[:, None]
-    raw = np.where(there, data[np.minimum(at, max(len(data) - 1, 0))], 0) if len(row) else np.zeros((0, WINDOW), np.uint8)
-    return FOLD[raw], row, LETTER[raw].sum(1)
+    raw, letters = np.zeros((len(row), WINDOW), np.uint8), np.zeros(len(row), np.int64)
+    place = np.arange(WINDOW)
+    for k in range(0, len(row), 4096):
+        there = place < size[k : k + 4096, None]
+        some = raw[k : k + 4096]
+        some[there] = data[(begin[k : k + 4096, None] + place)[there]]
+        letters[k : k + 4096] = LETTER[some].sum(1)
+        some[:] = FOLD[some]
+    return raw, row, letters
 
 
 def sample(docs: DataFrame, most: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, and windows with their languages from at most 2 * most documents, about as many of each language."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     rows = rows.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}  # a row for each language
