@@ -192,9 +192,9 @@ def captures(records: DataFrame) -> DataFrame:
     rank = lambda r: F.struct(r["kind"], r["record_id"])
     less = lambda a, b: F.when(rank(a) < rank(b), -1).when(rank(a) > rank(b), 1).otherwise(0)
     lists = lists.withColumn("all", F.array_sort("all", less))
-    found = {k: F.get(F.filter("all", lambda r, k=k: r["kind"] == k), F.lit(0))["record"].alias(k) for k in ("response", "request", "metadata")}
+    of = lambda k: F.get(F.filter("all", lambda r: r["kind"] == k), F.lit(0))["record"].alias(k)
     others = F.transform(F.filter("all", lambda r, i: (i > 0) & (F.get("all", i - 1)["kind"] == r["kind"])), lambda r: r["record"])
-    return lists.select("capture_id", *found.values(), others.alias("others"))
+    return lists.select("capture_id", *map(of, ("response", "request", "metadata")), others.alias("others"))
 
 
 def round_trip(pages: DataFrame, path: str | None = None, payload: bool = False) -> DataFrame:
