@@ -153,6 +153,12 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, KINDS, strict=True)], names=PACKED)
 
 
+def _each(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows one after the other; their binaries are views of the batch."""
+    for k in range(batch.num_rows):
+        yield {name: v.as_buffer() if pa.types.is_binary(v.type) else v.as_py() for name, v in zip(batch.schema.names, (c[k] for c in batch.columns), strict=True)}
+
+
 def _words(column: pa.Array) -> tuple[np.ndarray, ...]:
     """Bytes, starts, ends, the first word of each text, and the words' hashes."""
     data, offsets = text_buffer(column)
@@ -220,7 +226,7 @@ def _pass_by(narrow: bool):
         bucket, index = None, None
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 if row["kind"] == 0:
                     bucket, index = row["bucket"], _unpacked_index([row], narrow)
                     continue
@@ -253,10 +259,9 @@ def _by_row(ids: Ids, hashes: np.ndarray, bucket: int) -> pa.Table:
 
 def _own(key, table):
     """Candidates of a bucket whose hash a smaller doc_id has, for a bucket that one task holds."""
-    rows = table.to_pylist()
-    all_ids = [Ids.unpack(r["ids"]) for r in rows]
+    all_ids, hashes, more = zip(*((Ids.unpack(r["ids"]), np.frombuffer(r["hashes"], "<u8"), np.frombuffer(r["more"], "<u4")) for part in table.to_batches() for r in _each(part)), strict=True)
     ids = Ids(np.concatenate([x.at for x in all_ids]), np.concatenate([x.void for x in all_ids]))
-    hashes, more = np.concatenate([np.frombuffer(r["hashes"], "<u8") for r in rows]), np.concatenate([np.frombuffer(r["more"], "<u4") for r in rows])
+    hashes, more = np.concatenate(hashes), np.concatenate(more)
     order = np.lexsort((more, hashes))
     h, m, doc = hashes[order], more[order], ids.order
     group = np.cumsum(np.append(True, (h[1:] != h[:-1]) | (m[1:] != m[:-1]))) - 1
