@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelspark.llm.textcore import slices
+from reelspark.llm.textcore import lean, slices
 from reelspark.session import ship
 
 TOKENIZER = str(public_tokenizers.path("byte_bpe_50k.json"))
@@ -296,6 +296,7 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER, text: str = "text", keep
     source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("string").alias(own))
     fields = [source.schema[c] for c in keep] + [T.StructField(n, k()) for n, k in zip(names, (T.BinaryType, T.StringType), strict=False)]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for whole in batches:
@@ -314,6 +315,7 @@ def decode(tokens: DataFrame, tokenizer: str = TOKENIZER, ids: str = "ids") -> D
     ship(tokens.sparkSession)
     name = _free("decoded", tokens.columns)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:

@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.llm.textcore import slices, text_buffer
+from reelspark.llm.textcore import lean, slices, text_buffer
 from reelspark.session import ship
 
 ERROR_RATE, MIN_PIECE, SHRED = 0.1, 9, 5
@@ -189,6 +189,7 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, piece:
     """
     blocks = item_blocks(items)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, matchers in _passes(batches, 1, blocks, rate, piece):
             for matcher in matchers:
@@ -205,6 +206,7 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, piece: in
     """docs without the rows whose text holds an item; all columns as they are."""
     at, blocks = docs.columns.index("text"), item_blocks(items)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, matchers in _passes(batches, at, blocks, rate, piece):
             for matcher in matchers:

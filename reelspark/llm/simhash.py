@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm.components import stars
-from reelspark.llm.textcore import mix, slices, text_buffer, word_spans
+from reelspark.llm.textcore import lean, mix, slices, text_buffer, word_spans
 from reelspark.session import cut, ship
 
 SEED, PIVOTS, HOT_KEY = 42, 24, 1 << 15
@@ -109,6 +109,7 @@ def fingerprints_of(hashes: np.ndarray, per: np.ndarray, words: int = 1) -> np.n
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, id (the fingerprint) and fp (the same in binary, little-endian)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
@@ -131,6 +132,7 @@ def block_plan(max_distance: int, n: int = 0) -> list[np.ndarray]:
 def _banded(distinct: DataFrame, plan: list[np.ndarray]) -> DataFrame:
     """key, id, fp: a row for each key of each fingerprint."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
@@ -238,6 +240,7 @@ def links(key: np.ndarray, part: np.ndarray, fps: np.ndarray, max_distance: int)
 def _linked(rows: DataFrame, words: int, max_distance: int) -> DataFrame:
     """Edges (a, b) of fingerprint ids from rows sorted by (key, sub); a key's rows may lie in several batches."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, ...]] = []
         size = 0
@@ -336,6 +339,7 @@ def band_keys(hashes: np.ndarray, per: np.ndarray, bands: int = BANDS, rows: int
 def signatures(docs: DataFrame, shingle: int, words: int) -> DataFrame:
     """doc_id, content (a hash of the text), id (of the set of shingles), fp and keys of every row."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
@@ -359,6 +363,7 @@ def _source(docs: DataFrame) -> DataFrame:
 def _keyed(distinct: DataFrame) -> DataFrame:
     """key, id: a row for each key of each set."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = text_buffer(batch.column(1))[0].view("<i8")
@@ -378,6 +383,7 @@ def gram_sets(docs: DataFrame, member: DataFrame, shingle: int) -> DataFrame:
     rows = _source(docs)
     rows = rows.join(_listed(member, 40), rows.doc_id.eqNullSafe(member.at_doc) & (rows.content == member.at_content)).select("key", "id", "text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
@@ -442,6 +448,7 @@ def resembling(part: np.ndarray, sets: list[np.ndarray], similarity: float) -> n
 def _verified(rows: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) of set ids from rows (key, sub, id, grams) sorted by task."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, kept = None, []
 
@@ -466,6 +473,7 @@ def _verified(rows: DataFrame, similarity: float) -> DataFrame:
 def _apart(rows: DataFrame) -> DataFrame:
     """rows(key, id, grams, head) with their Jaccard distance (apart) to the head's set instead of it."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             apart = []

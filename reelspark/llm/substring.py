@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelspark.llm.textcore import covered, slices, text_buffer, window_hashes, window_rows, word_hashes, word_spans
+from reelspark.llm.textcore import covered, lean, lean_group, slices, text_buffer, window_hashes, window_rows, word_hashes, word_spans
 from reelspark.session import cut, shared_path, ship
 
 WINDOW = 50
@@ -170,6 +170,7 @@ def _anchors(bits: int, window: int):
     """Rows (at, void, text) -> the index of each batch's blocks."""
     half = window // 2
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):
@@ -188,6 +189,7 @@ def _anchors(bits: int, window: int):
 def _merge(narrow: bool):
     """One index row for each bucket; n adds up the batches' entries."""
 
+    @lean_group
     def merge(key, table):
         rows = table.to_pylist()
         hashes, more, least, most = _unpacked_index(rows, narrow)
@@ -202,6 +204,7 @@ def _probe(bits: int, window: int):
     """Rows (at, void, text) -> all rolling windows of half the length."""
     half = window // 2
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):
@@ -222,6 +225,7 @@ def _pass_by(narrow: bool):
     """
     kind = "<u4" if narrow else "<u8"
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, index = None, None
         for batch in batches:
@@ -257,6 +261,7 @@ def _by_row(ids: Ids, hashes: np.ndarray, bucket: int) -> pa.Table:
     return pa.table({"at": pa.array(ids.at[at], pa.int64()), "void": pa.array(ids.void[at]), "bucket": pa.array([bucket] * len(at), pa.int32()), "hashes": pa.array(parts, pa.binary())})
 
 
+@lean_group
 def _own(key, table):
     """Candidates of a bucket whose hash a smaller doc_id has, for a bucket that one task holds."""
     all_ids, hashes, more = zip(*((Ids.unpack(r["ids"]), np.frombuffer(r["hashes"], "<u8"), np.frombuffer(r["more"], "<u4")) for part in table.to_batches() for r in _each(part)), strict=True)
@@ -273,6 +278,7 @@ def _own(key, table):
     return _by_row(ids[late], hashes[late], key[0].as_py())
 
 
+@lean
 def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packed candidates -> the smallest doc_id of each hash, combined in each batch."""
     for batch in batches:
@@ -334,6 +340,7 @@ def _extend(bits: int, window: int, digest: bool):
     """Rows (at, void, text, doc_id, rest, hits) -> finished rows, rows to finish, and packed candidates (states 0, 1 and 2)."""
     half = window // 2
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):
@@ -383,6 +390,7 @@ MIXED = ["state", "at", "void", "doc_id", "rest", "text", "n_words", "n_removed"
 def _finish(window: int, digest: bool):
     """Rows (text, doc_id, rest, hits) -> finished rows."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):

@@ -2,8 +2,11 @@
 
 import hashlib
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +15,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from reelspark.llm import decontaminate, htmltree, langid, quality, queries, sharding, warc
+from reelspark.session import ARROW_BYTES
 
 FOLDER = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -353,3 +357,57 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{folder}/none/{name}.parquet")
     assert corpus_pipeline.run(spark, f"{folder}/none").count() == 0
+
+
+def test_pipeline_bounds_arrow_batches(spark, tmp_path):
+    """Bytes bound a batch, however few rows that are; a smaller limit of the session stays."""
+    spark.range(3000).selectExpr("id doc_id", "repeat(concat('w', id, ' '), 800) text").coalesce(1).write.parquet(path := f"{tmp_path}/documents.parquet")
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    for own, most in ((None, ARROW_BYTES), ("1m", 1 << 20)):
+        session = spark.newSession()
+        if own:
+            session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", own)
+        docs = session.read.parquet(path)
+        assert corpus_pipeline.substring_dedup(session, docs, str(tmp_path)).count() == 3000
+        sizes = docs.mapInArrow(run, "n long, size long").collect()
+        assert sum(r.n for r in sizes) == 3000 and len(sizes) > 1 and max(r.size for r in sizes) < most + 20_000
+
+
+GIVEN_BACK = """
+import sys
+import numpy as np, pyarrow as pa
+from reelspark.llm.textcore import lean, lean_group
+
+def resident():
+    return int(open("/proc/self/statm").read().split()[1]) * 4096 >> 20
+
+pins = []
+
+def work(*args):  # small pieces below one that stays
+    some = [np.ones(12_000) for _ in range(2000)]
+    pins.append(np.ones(12_000))
+    return len(some)
+
+def run(batches):
+    for batch in batches:
+        work()
+        yield batch
+
+before = resident()
+if sys.argv[1] == "lean":
+    assert list(lean(run)(iter([1, 2]))) == [1, 2]
+else:
+    assert lean_group(work)(None, None) == 2000
+print(resident() - before)
+"""
+
+
+@pytest.mark.parametrize("kind", ["lean", "lean_group"])
+def test_workers_give_back_memory(kind):
+    root = Path(corpus_pipeline.__file__).parent
+    out = subprocess.run([sys.executable, "-c", GIVEN_BACK, kind], cwd=root, capture_output=True, text=True, check=True)
+    assert int(out.stdout) < 60  # of 190 MB
