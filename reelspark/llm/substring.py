@@ -140,6 +140,7 @@ def _rows(hashes: np.ndarray, more: np.ndarray | None, ids: Ids, bits: int, narr
     hashes = _narrow(hashes[order], bits) if narrow else hashes[order].astype("<u8")
     more = np.zeros(0, "<u4") if more is None else more[order].astype("<u4")
     ids, place = ids[order], place[order]
+    del order
     for b, s in _by_bucket(place):
         yield b, 1, s.stop - s.start, hashes[s].tobytes(), more[s].tobytes(), ids[s].pack()
 
@@ -166,22 +167,32 @@ def _words(column: pa.Array) -> tuple[np.ndarray, ...]:
     return data, starts, ends, first, word_hashes(data, starts, ends)
 
 
-def _anchors(bits: int, window: int):
-    """Rows (at, void, text) -> the index of each batch's blocks."""
-    half = window // 2
+def _sliced(part):
+    """A lean kernel that takes its batches through part in slices; what part holds of one is freed before the next."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):
-                _, _, _, first, hashes = _words(batch.column(2))
-                at, row = window_rows(first, half)
-                keep = ((at - first[row]) % half == 0) & (np.diff(first) >= window)[row]
-                at, row = at[keep], row[keep]
-                if len(at):
-                    doc = Ids.of(batch).order[row]
-                    h, _, least, most = _least_and_most(window_hashes(hashes, half)[at], np.zeros(len(at), np.uint8), doc, doc)
-                    yield _batch(list(_index_rows(_narrow(h, bits), np.zeros(0, "<u4"), least, most, (h >> np.uint64(64 - bits)).astype(np.int64))))
+                yield from part(batch)
+
+    return run
+
+
+def _anchors(bits: int, window: int):
+    """Rows (at, void, text) -> the index of each batch's blocks."""
+    half = window // 2
+
+    @_sliced
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        first, hashes = _words(batch.column(2))[3:]
+        at, row = window_rows(first, half)
+        keep = ((at - first[row]) % half == 0) & (np.diff(first) >= window)[row]
+        at, row = at[keep], row[keep]
+        if len(at):
+            doc = Ids.of(batch).order[row]
+            h, _, least, most = _least_and_most(window_hashes(hashes, half)[at], np.zeros(len(at), np.uint8), doc, doc)
+            yield _batch(list(_index_rows(_narrow(h, bits), np.zeros(0, "<u4"), least, most, (h >> np.uint64(64 - bits)).astype(np.int64))))
 
     return run
 
@@ -204,16 +215,16 @@ def _probe(bits: int, window: int):
     """Rows (at, void, text) -> all rolling windows of half the length."""
     half = window // 2
 
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text", BATCH_BYTES):
-                _, _, _, first, hashes = _words(batch.column(2))
-                at, row = window_rows(first, half)
-                keep = (np.diff(first) >= window)[row]
-                at, row = at[keep], row[keep]
-                if len(at):
-                    yield _batch(list(_rows(window_hashes(hashes, half)[at], None, Ids.of(batch)[row], bits, True)))
+    @_sliced
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        first, hashes = _words(batch.column(2))[3:]
+        at, row = window_rows(first, half)
+        keep = (np.diff(first) >= window)[row]
+        at, row = at[keep], row[keep]
+        if len(at):
+            packed = _rows(window_hashes(hashes, half)[at], None, Ids.of(batch)[row], bits, True)
+            del hashes, at, row, keep  # packing takes as much again
+            yield _batch(list(packed))
 
     return run
 
@@ -266,14 +277,16 @@ def _own(key, table):
     """Candidates of a bucket whose hash a smaller doc_id has, for a bucket that one task holds."""
     all_ids, hashes, more = zip(*((Ids.unpack(r["ids"]), np.frombuffer(r["hashes"], "<u8"), np.frombuffer(r["more"], "<u4")) for part in table.to_batches() for r in _each(part)), strict=True)
     ids = Ids(np.concatenate([x.at for x in all_ids]), np.concatenate([x.void for x in all_ids]))
+    del all_ids
     hashes, more = np.concatenate(hashes), np.concatenate(more)
     order = np.lexsort((more, hashes))
-    h, m, doc = hashes[order], more[order], ids.order
-    group = np.cumsum(np.append(True, (h[1:] != h[:-1]) | (m[1:] != m[:-1]))) - 1
-    least = np.minimum.reduceat(doc[order], np.flatnonzero(np.diff(group, prepend=-1)))
-    late = np.zeros(len(h), bool)
-    late[order] = doc[order] > least[group]
-    late = np.flatnonzero(late)
+    first = np.ones(len(order), bool)
+    first[1:] = (np.diff(hashes[order]) != 0) | (np.diff(more[order]) != 0)
+    del more
+    first = np.flatnonzero(first)
+    doc = ids.order[order]
+    late = np.sort(order[doc > np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(doc))))])
+    del order, doc, first
     late = late[np.lexsort((ids.at[late], ids.void[late]))]
     return _by_row(ids[late], hashes[late], key[0].as_py())
 
@@ -340,46 +353,47 @@ def _extend(bits: int, window: int, digest: bool):
     """Rows (at, void, text, doc_id, rest, hits) -> finished rows, rows to finish, and packed candidates (states 0, 1 and 2)."""
     half = window // 2
 
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text", BATCH_BYTES):
-                texts, rest, hits = batch.column(2), batch.column(4), batch.column(5)
-                data, starts, ends, first, hashes = _words(texts)
-                ids, offsets = Ids.of(batch), text_buffer(texts)[1]
-                rows, take_all, row_of = [], [], []
-                short = window_hashes(hashes, half) >> np.uint64(32 - bits)
-                for k in range(batch.num_rows):
-                    a, b = int(first[k]), int(first[k + 1])
-                    found = hits[k].is_valid and b - a >= window
-                    if found:
-                        hit = np.isin(short[a : b - half + 1], _hits(hits, k, bits))
-                        near = np.zeros(len(hit) + 1, np.int64)
-                        np.cumsum(hit, out=near[1:])
-                        n = b - a - window + 1
-                        take = np.flatnonzero(near[window - half + 1 : window - half + 1 + n] > near[:n])
-                        take_all.append(take + a)
-                        row_of.append(np.full(len(take), k))
-                    if found and len(take):
-                        rows.append((1, b - a, None, None, texts[k].as_py()))
-                    else:
-                        base = int(offsets[k])
-                        text = texts[k].as_py() if not digest else None
-                        rows.append((0, *_finished(data[base : offsets[k + 1]], starts[a:b] - base, ends[a:b] - base, np.zeros(b - a, bool), text, digest)))
-                state, n_words, n_removed, sha, text = zip(*rows, strict=True)
-                m = len(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(state, pa.int32()), *batch.columns[:2], batch.column(3), rest, pa.array(text, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), *(pa.nulls(m, k) for k in KINDS)],
-                    names=MIXED,
-                )
-                take = np.concatenate(take_all) if take_all else np.zeros(0, np.int64)
-                if len(take):
-                    second = window_hashes(word_hashes(data, starts, ends, 1), window)[take].astype(np.uint32)
-                    packed = _batch(list(_rows(window_hashes(hashes, window)[take], second, ids[np.concatenate(row_of)], bits, False)))
-                    m = packed.num_rows
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([2] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.nulls(m, rest.type), pa.nulls(m, pa.string()), *[pa.nulls(m, pa.int64())] * 2, pa.nulls(m, pa.string()), *packed.columns], names=MIXED
-                    )
+    @_sliced
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts, rest, hits = batch.column(2), batch.column(4), batch.column(5)
+        data, starts, ends, first, hashes = _words(texts)
+        ids, offsets = Ids.of(batch), text_buffer(texts)[1]
+        rows, take_all, row_of = [], [], []
+        short = window_hashes(hashes, half) >> np.uint64(32 - bits)
+        for k in range(batch.num_rows):
+            a, b = int(first[k]), int(first[k + 1])
+            found = hits[k].is_valid and b - a >= window
+            if found:
+                hit = np.isin(short[a : b - half + 1], _hits(hits, k, bits))
+                near = np.zeros(len(hit) + 1, np.int64)
+                np.cumsum(hit, out=near[1:])
+                n = b - a - window + 1
+                take = np.flatnonzero(near[window - half + 1 : window - half + 1 + n] > near[:n])
+                take_all.append(take + a)
+                row_of.append(np.full(len(take), k))
+            if found and len(take):
+                rows.append((1, b - a, None, None, texts[k].as_py()))
+            else:
+                base = int(offsets[k])
+                text = texts[k].as_py() if not digest else None
+                rows.append((0, *_finished(data[base : offsets[k + 1]], starts[a:b] - base, ends[a:b] - base, np.zeros(b - a, bool), text, digest)))
+        state, n_words, n_removed, sha, text = zip(*rows, strict=True)
+        m = len(rows)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(state, pa.int32()), *batch.columns[:2], batch.column(3), rest, pa.array(text, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), *(pa.nulls(m, k) for k in KINDS)],
+            names=MIXED,
+        )
+        take = np.concatenate(take_all) if take_all else np.zeros(0, np.int64)
+        if len(take):
+            del short, rows, text, take_all
+            second = window_hashes(word_hashes(data, starts, ends, 1), window)[take].astype(np.uint32)
+            packed = _rows(window_hashes(hashes, window)[take], second, ids[np.concatenate(row_of)], bits, False)
+            del starts, ends, hashes, second, take, row_of
+            packed = _batch(list(packed))
+            m = packed.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([2] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.nulls(m, rest.type), pa.nulls(m, pa.string()), *[pa.nulls(m, pa.int64())] * 2, pa.nulls(m, pa.string()), *packed.columns], names=MIXED
+            )
 
     return run
 
@@ -390,19 +404,17 @@ MIXED = ["state", "at", "void", "doc_id", "rest", "text", "n_words", "n_removed"
 def _finish(window: int, digest: bool):
     """Rows (text, doc_id, rest, hits) -> finished rows."""
 
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text", BATCH_BYTES):
-                texts, rows = batch.column(0), []
-                data, starts, ends, first, hashes = _words(texts)
-                offsets, full = text_buffer(texts)[1], window_hashes(hashes, window)
-                for k in range(batch.num_rows):
-                    a, b, base = int(first[k]), int(first[k + 1]), int(offsets[k])
-                    gone = covered(b - a, np.flatnonzero(np.isin(full[a : b - window + 1], _hits(batch.column(3), k, None))), window)
-                    rows.append(_finished(data[base : offsets[k + 1]], starts[a:b] - base, ends[a:b] - base, gone, texts[k].as_py(), digest))
-                n_words, n_removed, sha, text = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(text, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "rest", "text", "n_words", "n_removed", "kept_sha256"])
+    @_sliced
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts, rows = batch.column(0), []
+        data, starts, ends, first, hashes = _words(texts)
+        offsets, full = text_buffer(texts)[1], window_hashes(hashes, window)
+        for k in range(batch.num_rows):
+            a, b, base = int(first[k]), int(first[k + 1]), int(offsets[k])
+            gone = covered(b - a, np.flatnonzero(np.isin(full[a : b - window + 1], _hits(batch.column(3), k, None))), window)
+            rows.append(_finished(data[base : offsets[k + 1]], starts[a:b] - base, ends[a:b] - base, gone, texts[k].as_py(), digest))
+        n_words, n_removed, sha, text = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(text, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "rest", "text", "n_words", "n_removed", "kept_sha256"])
 
     return run
 

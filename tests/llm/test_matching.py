@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -347,3 +349,25 @@ def test_near_dedup_of_repeated_ids(spark):
     rows = [(r.doc_id, r.text) for r in kept.collect()]
     assert len(rows) == 5 and {(1, one), (4, "c " * 70), (None, one), (None, None)} < set(rows) and {(1, other), (1, other + " more")} & set(rows)
     assert simhash.clean(spark.createDataFrame([], DOCS)).count() == 0
+
+
+@pytest.mark.parametrize(("kernel", "most"), [("probe", 9), ("own", 60)])
+def test_substring_kernels_hold_little(kernel, most):
+    """Bytes held at once for a byte of a slice of text, and for a candidate (20 bytes); slices and buckets are of bounded size."""
+    rng = np.random.default_rng(3)
+    if kernel == "probe":
+        size, n = substring.BATCH_BYTES, 1200
+        texts = [" ".join(f"{x:05x}" for x in rng.integers(0, 1 << 20, size * 3 // n // 6)) for _ in range(n)]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([False] * n), pa.array(texts)], names=["at", "void", "text"])
+        work = substring._probe(7, 50)
+    else:
+        size = 1_000_000
+        hashes, ids = rng.integers(0, 500_000, size).astype("<u8"), substring.Ids(np.sort(rng.integers(0, 5000, size)), np.zeros(size, bool))
+        table = pa.Table.from_batches([substring._batch([(1, 1, size, hashes.tobytes(), np.zeros(size, "<u4").tobytes(), ids.pack())])])
+    tracemalloc.start()
+    try:
+        rows = sum(x.num_rows for x in work(iter([batch]))) if kernel == "probe" else substring._own((pa.scalar(1),), table).num_rows
+        held = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows and held < most * size, held / size
